@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that are looked at together.
 SLICE = 1 << 20
 #: Rows in an Arrow batch; texts are long, so the default of 10,000 is too many.
-BATCH_ROWS = 500
+BATCH_ROWS = 2000
+#: Bytes of an Arrow batch, whatever its rows.
+BATCH_BYTES = 8 << 20
 
 #: [\x20\x09-\x0D] as a regular expression for Spark and for DuckDB.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -145,8 +147,11 @@ def sha256_hex(data: bytes) -> str:
 
 
 def batched(docs: DataFrame) -> DataFrame:
-    """docs, after the session was told to send small Arrow batches to Python."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """docs, after the session was told to send small Arrow batches to Python and to drop shuffle files when a query ends."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return docs
 
 

@@ -310,3 +310,23 @@ def masked(text: str | None, spans) -> str | None:
 
 def digest(spans) -> str:
     return hashlib.sha256(spelled(spans).encode()).hexdigest()
+
+
+def masked_documents(docs: DataFrame, *, text_col: str = "text", field: Field | None = None) -> DataFrame:
+    """docs with the same columns and rows, personal data in ``text_col`` replaced by the kind in brackets."""
+    names = docs.columns
+    found = find_pii(docs, id_col=text_col, text_col=text_col, keep=tuple(c for c in names if c != text_col), field=field)
+
+    def mask(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            spans = batch.column(batch.schema.get_field_index("spans"))
+            touched = np.flatnonzero(np.asarray(spans.value_lengths().fill_null(0)) > 0)
+            if len(touched):
+                out = texts.to_pylist()
+                for i in touched:
+                    out[i] = masked(out[i], [(s["start"], s["kind"], s["end"]) for s in spans[int(i)].as_py()])
+                texts = pa.array(out, texts.type)
+            yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names], names)
+
+    return found.select(*names, "spans").mapInArrow(mask, docs.schema)

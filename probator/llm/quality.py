@@ -35,45 +35,38 @@ def lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _repeated(words_: str) -> Column:
-    """Words in a 3-word window that occurs twice or more in the text, from the array column of that name.
+def _repeated() -> Column:
+    """Words in a 3-word window that occurs twice or more in the text, from the array column ``_pairs``.
 
     Windows are (hash, place) pairs in sorted order, so equal windows are neighbours; the places of those with
     an equal neighbour are sorted again and each adds the words that the one before does not cover. n log n in
     the text's length. The hash has 64 bits and is only compared within one text.
     """
-    return F.expr(f"""
-        aggregate(
-          array_sort_places({words_}), struct(0L as n, -3 as at),
-          (a, i) -> struct(a.n + least(3, i - a.at) as n, i as at), a -> a.n)""".replace(
-        f"array_sort_places({words_})",
-        "sort_array(transform(filter(_pairs, (p, k) -> (k > 0 and element_at(_pairs, k).h = p.h) or (k < size(_pairs) - 1 and get(_pairs, k + 1).h = p.h)), p -> p.i))",
-    ))
-
-
-def measured(docs: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """docs with its columns and the struct ``_m``: the counts of the base rules and of the lines."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.withColumn("_w", words(F.col(text_col)))
-    step = step.withColumn(
-        "_pairs",
-        F.expr("sort_array(transform(case when size(_w) >= 3 then sequence(0, size(_w) - 3) else cast(array() as array<int>) end, i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) as h, i as i)))"),
-    )
-    symbols = F.length(text)
+    equal = "(k > 0 and get(_pairs, k - 1).h = p.h) or (k < size(_pairs) - 1 and get(_pairs, k + 1).h = p.h)"
+    places = f"sort_array(transform(filter(_pairs, (p, k) -> {equal}), p -> p.i))"
+    return F.expr(f"aggregate({places}, struct(0L as n, -3 as at), (a, i) -> struct(a.n + least(3, i - a.at) as n, i as at), a -> a.n)")
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are computed once a row: neither a filter nor a later column repeats the work."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """docs (with ``_text``) and _w, _lines (those with a word) and the counts of the base rules."""
+    text = F.coalesce(F.col("_text"), F.lit(""))
     bare = text
     for c in SYMBOLS:
         bare = F.replace(bare, F.lit(c))
-    symbols = symbols - F.length(bare)
-    step = step.withColumn("_lines", F.filter(lines(text), lambda s: F.rlike(s, F.lit(r"[^\x20\x09-\x0D]"))))
-    return step.withColumn(
-        "_m",
-        F.struct(
-            F.size("_w").cast("long").alias("n_words"),
-            F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-            symbols.cast("long").alias("n_symbols"),
-            (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-            _repeated("_w").cast("long").alias("n_repeat_words"),
-        ),
+    step = once(docs, _w=words(F.col("_text")), _lines=F.filter(lines(text), lambda s: F.rlike(s, F.lit(r"[^\x20\x09-\x0D]"))), n_symbols=(F.length(text) - F.length(bare)).cast("long"))
+    step = once(step, _pairs=F.expr("sort_array(transform(case when size(_w) >= 3 then sequence(0, size(_w) - 3) else cast(array() as array<int>) end, i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) as h, i as i)))"))
+    return once(
+        step,
+        n_words=F.size("_w").cast("long"),
+        word_chars=F.length(F.array_join("_w", "")).cast("long"),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        n_repeat_words=_repeated().cast("long"),
+        _kept=F.filter("_lines", lambda s: ~line_fails(s)),
     )
 
 
@@ -95,12 +88,11 @@ def rate_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     words are lost. A null or empty text has no words and fails; repeated ids are judged one by one;
     other columns, whatever their names, are left out before anything is computed.
     """
-    step = measured(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), id_col="_id", text_col="_text")
-    step = step.withColumn("_kept", F.filter("_lines", lambda s: ~line_fails(s)))
-    left = F.aggregate("_kept", F.lit(0).cast("long"), lambda n, s: n + F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+")))
-    step = step.withColumn("_lost", F.col("_m.n_words") - left)
-    failed = (F.col("_m.n_words") < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
+    step = measured(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")))
+    step = once(step, _left=F.aggregate("_kept", F.lit(0).cast("long"), lambda n, s: n + F.regexp_count(s, F.lit(r"[^\x20\x09-\x0D]+"))))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    lost = F.col("n_words") - F.col("_left")
     return step.select(
-        F.col("_id").alias(id_col), "_m.*", failed.alias("base_failed"), F.size("_lines").alias("n_lines"), (F.size("_lines") - F.size("_kept")).alias("n_bad_lines"),
-        F.col("_lost").alias("n_lost_words"), F.array_join("_kept", "\n").alias("clean_text"), (~failed & (F.col("_lost") <= max_loss * F.col("_m.n_words"))).alias("kept"),
+        F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), F.size("_lines").alias("n_lines"),
+        (F.size("_lines") - F.size("_kept")).alias("n_bad_lines"), lost.alias("n_lost_words"), F.array_join("_kept", "\n").alias("clean_text"), (~failed & (lost <= max_loss * F.col("n_words"))).alias("kept"),
     )

@@ -25,7 +25,7 @@ from . import common as C
 
 #: Distinct segments of an anchor that one task compares, and symbols that it takes together.
 HOT = 4000
-BATCH_SYMBOLS = 4 << 20
+BATCH_SYMBOLS = 1 << 19
 
 
 def segments(values: np.ndarray, bounds: np.ndarray, k: int, width: int):
@@ -82,11 +82,7 @@ def repeats(rows: DataFrame, symbols: Callable, compare: Callable, *, k: int, wi
     if first_stays:
         whole = whole.where(~place.eqNullSafe(F.col("first")))
     whole = whole.select("_row", "start", "n", F.lit(None).cast("binary").alias("mask"))
-    if first_stays:
-        ship = kinds.join(several, "anchor")
-    else:  # a segment with copies is all repeats already, yet others may hold its windows
-        ship = kinds.join(several, "anchor")
-    ship = ship.select("anchor", "copies", F.col("first._id").alias("_id"), F.col("first._row").alias("_row"), F.col("first.start").alias("start"), "n", (F.col("_kinds") > HOT).alias("hot"))
+    ship = kinds.join(several, "anchor").select("anchor", "copies", F.col("first._id").alias("_id"), F.col("first._row").alias("_row"), F.col("first.start").alias("start"), "n", (F.col("_kinds") > HOT).alias("hot"))
     wanted = ship.groupBy("_row").agg(F.collect_list(F.struct("anchor", "copies", "_id", "start", "n", "hot")).alias("wanted"))
 
     def fetch(batches):

@@ -34,7 +34,7 @@ def bounded_suffix_array(text: np.ndarray, cuts: np.ndarray, length: int):
     until = cuts[np.searchsorted(cuts, np.arange(n))] - np.arange(n)  # bytes before the next separator
     for i in range(FIRST):
         key = (key << 9) | np.where(until > i, padded[i : i + n], 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     alone = until[order] < FIRST
     new = np.ones(n, bool)
@@ -52,7 +52,7 @@ def bounded_suffix_array(text: np.ndarray, cuts: np.ndarray, length: int):
             break
         at = order[slots]
         k = rank[at] * (n + 1) + rank[np.minimum(at + h, n)]
-        by = np.argsort(k, kind="stable")
+        by = np.argsort(k)
         at, k = at[by], k[by]
         order[slots] = at
         new = np.ones(len(k), bool)
@@ -72,7 +72,7 @@ def deep_places(text: np.ndarray, order: np.ndarray, shallow: np.ndarray, length
     """
     n = len(text)
     before = text[order - 1]  # the transform; suffix 0 is preceded by the last separator
-    by = np.argsort(before, kind="stable")
+    by = np.argsort(before.astype(np.uint16), kind="stable")  # 16 bits: a radix sort
     step = np.empty(n, np.int64)
     step[by] = np.arange(n)  # where the suffix one byte longer stands
     known = np.zeros(n + 1, bool)
@@ -91,7 +91,7 @@ def deep_places(text: np.ndarray, order: np.ndarray, shallow: np.ndarray, length
         to, query = step[at[real]], query[real]
         if not len(to):
             break
-        o = np.argsort(to, kind="stable")
+        o = np.argsort(to)
         to, query = to[o], query[o]
         new = np.ones(len(to), bool)
         new[1:] = (to[1:] != to[:-1] + 1) | (query[1:] != query[:-1]) | (text[order[to[1:]]] != text[order[to[:-1]]])

@@ -1,0 +1,36 @@
+"""The few expressions that Spark and an ANSI checker spell differently.
+
+Every audit is one SQL plan over declared column names.  It is rendered for Spark, where it runs, and for
+the checker, where its result can be confirmed independently.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Dialect:
+    name: str
+
+    def quantile(self, x: str, p: float) -> str:
+        return f"percentile({x}, {p})" if self.name == "spark" else f"quantile_cont({x}, {p})"
+
+    def half_even(self, x: str) -> str:
+        return f"bround({x})" if self.name == "spark" else f"round_even({x}, 0)"
+
+    def ratio(self, a: str, b: str) -> str:
+        return f"({a}) / nullif(cast({b} as double), 0)"
+
+    def text(self, x: str) -> str:
+        return f"cast({x} as string)" if self.name == "spark" else f"cast({x} as varchar)"
+
+    def draw(self, seed: int, key: str) -> str:
+        """A number for shuffling that both engines agree on: the MD5 of seed and key."""
+        return f"md5(concat('{seed}|', coalesce({self.text(key)}, '')))"
+
+    def infinite(self, x: str) -> str:
+        return f"abs({x}) = cast('infinity' as double)"
+
+
+SPARK, ANSI = Dialect("spark"), Dialect("ansi")

@@ -1,0 +1,103 @@
+"""Baselines, metrics, ranking stability and verdicts, as plans over predictions and experiment records."""
+
+from __future__ import annotations
+
+from ..functions.dialect import Dialect
+
+LOWER_IS_BETTER = ("mae", "rmse", "log_loss")
+
+
+def entity_means(d: Dialect, table: str, row: str, split: str, target: str, left: str, right: str) -> str:
+    """Baselines that know only means: global, of the left entity, of the right, and both added. Unseen keys have none."""
+    mean = f"cast(sum(cast({target} as decimal(18,4))) as double) / count({target})"  # exact sums: the order of rows does not show
+    return f"""with m as ({split}), tr as (select t.* from {table} t join m on t.{row} = m.row_id and m.part = 'train'), te as (select t.* from {table} t join m on t.{row} = m.row_id and m.part = 'test'),
+    g as (select {mean} as mean from tr), l as (select {left} as k, {mean} as mean from tr group by {left}), r as (select {right} as k, {mean} as mean from tr group by {right})
+    select te.{row} as row_id, cast(te.{target} as double) as y_true, g.mean as global_mean, l.mean as left_mean, r.mean as right_mean, l.mean + r.mean - g.mean as additive
+    from te cross join g left join l on te.{left} = l.k left join r on te.{right} = r.k"""
+
+
+def _finite(y: str, p: str) -> str:
+    return f"{y} is not null and {p} is not null and abs({y}) < 1e300 and abs({p}) < 1e300"
+
+
+def _ranked(source: str, c: str, name: str, cols: str = "y, p", buckets: int = 4096) -> str:
+    """Common table ``name``: the rows of ``source`` and the average rank of column c. Buckets of equal width follow the order, so that no task sorts all rows."""
+    b = f"coalesce(floor(({c} - lo) / nullif(hi - lo, 0) * {buckets}), 0)"
+    return f"""{name}_w as (select {cols}, {b} as bucket from {source} t cross join (select min({c}) as lo, max({c}) as hi from {source}) r),
+    {name}_o as (select bucket, sum(n) over (order by bucket) - n as before from (select bucket, count(*) as n from {name}_w group by bucket) z),
+    {name} as (select w.*, cast(o.before + rank() over (partition by w.bucket order by {c}) + (count(*) over (partition by w.bucket, {c}) - 1) / 2e0 as double) as {c}_rank from (select * from {name}_w) w join {name}_o o on w.bucket = o.bucket)"""
+
+
+def regression_metrics(d: Dialect, predictions: str, y: str, p: str) -> str:
+    """MAE, RMSE, Pearson and Spearman (average ranks; null for a constant side)."""
+    corr = lambda a, b: f"(avg({a} * {b}) - avg({a}) * avg({b})) / nullif(sqrt(var_pop({a})) * sqrt(var_pop({b})), 0)"
+    return f"""with f as (select cast({y} as double) as y, cast({p} as double) as p from ({predictions}) q where {_finite(y, p)}),
+    {_ranked('f', 'y', 'a')}, {_ranked('a', 'p', 'k', 'y, p, y_rank')}
+    select count(*) as n, round(avg(abs(y - p)), 4) as mae, round(sqrt(avg((y - p) * (y - p))), 4) as rmse, round({corr('y', 'p')}, 5) as pearson, round({corr('y_rank', 'p_rank')}, 5) as spearman from k"""
+
+
+def kendall_tau(d: Dialect, predictions: str, y: str, p: str) -> str:
+    """Kendall's tau-b over the pairs of a bounded table."""
+    return f"""with f as (select row_id, {y} as y, {p} as p from ({predictions}) q where {_finite(y, p)}),
+    s as (select sign(a.y - b.y) * sign(a.p - b.p) as s, case when a.y = b.y then 1 else 0 end as ty, case when a.p = b.p then 1 else 0 end as tp from f a join f b on a.row_id < b.row_id)
+    select round(sum(s) / nullif(sqrt(cast(sum(1 - ty) as double)) * sqrt(cast(sum(1 - tp) as double)), 0), 6) as kendall_tau from s"""
+
+
+def classification_metrics(d: Dialect, predictions: str, y: str, p: str, threshold: float) -> str:
+    """Balanced accuracy, ROC area (rank sum), average precision and log loss of a 0/1 target."""
+    return f"""with f as (select cast({y} as double) as y, cast({p} as double) as p from ({predictions}) q where {_finite(y, p)}),
+    {_ranked('f', 'p', 'k')},
+    c as (select p, sum(y) as hits, count(*) as n from f group by p),
+    u as (select p, hits, sum(hits) over (order by p desc) as tp, sum(n) over (order by p desc) as seen, sum(hits) over () as pos from c)
+    select round((avg(case when y = 1 then case when p >= {threshold} then 1e0 else 0e0 end end) + avg(case when y = 0 then case when p < {threshold} then 1e0 else 0e0 end end)) / 2, 6) as balanced_accuracy,
+      round((sum(case when y = 1 then p_rank end) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0), 6) as roc_auc,
+      (select round(sum(hits / pos * tp / seen), 6) from u) as average_precision,
+      round(avg(-(y * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - y) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)))), 6) as log_loss from k"""
+
+
+def permutation_summary(d: Dialect, observed: str, null: str, lower: bool) -> str:
+    """(1 + draws at least as good) / (1 + draws), and the null's quantiles. null: one column ``v``."""
+    good = "v <= o" if lower else "v >= o"
+    return f"select count(*) as draws, round({d.quantile('v', 0.5)}, 6) as median, round({d.quantile('v', 0.05)}, 6) as q05, round({d.quantile('v', 0.95)}, 6) as q95, round((1e0 + count(case when {good} then 1 end)) / (1e0 + count(*)), 6) as p_value from ({null}) n cross join ({observed}) o where v is not null"
+
+
+def top_k(d: Dialect, runs: str, k: int) -> str:
+    """The k best candidates of each (run, grp) by score; ties go to the lesser candidate."""
+    return f"select run, grp, candidate from (select *, row_number() over (partition by run, grp order by score desc, candidate) as place from ({runs}) r) t where place <= {k}"
+
+
+def ranking_stability(d: Dialect, runs: str, k: int) -> str:
+    """Mean Jaccard of the top k between runs of a group, comparisons, and the share of candidates that only some runs choose."""
+    return f"""with t as ({top_k(d, runs, k)}), n as (select run, grp, count(*) as n from t group by run, grp),
+    j as (select a.grp, a.run as ra, b.run as rb, a.n + b.n as total from n a join n b on a.grp = b.grp and a.run < b.run),
+    s as (select a.grp, a.run as ra, b.run as rb, count(*) as shared from t a join t b on a.grp = b.grp and a.candidate = b.candidate and a.run < b.run group by a.grp, a.run, b.run),
+    c as (select grp, candidate, count(*) as chosen from t group by grp, candidate), r as (select grp, count(distinct run) as runs from t group by grp)
+    select round(avg(coalesce(shared, 0) / cast(total - coalesce(shared, 0) as double)), 6) as mean_jaccard, count(*) as comparisons,
+      (select round(avg(case when chosen < runs then 1e0 else 0e0 end), 6) from c join r on c.grp = r.grp) as unstable_fraction
+    from j left join s on j.grp = s.grp and j.ra = s.ra and j.rb = s.rb"""
+
+
+def rank_spread(d: Dialect, runs: str) -> str:
+    """Median over candidates of the spread of their average rank between runs."""
+    return f"""with k as (select grp, candidate, run, rank() over (partition by run, grp order by score desc) + (count(*) over (partition by run, grp, score) - 1) / 2e0 as r from ({runs}) q),
+    s as (select grp, candidate, stddev_samp(cast(r as double)) as sd from k group by grp, candidate) select round({d.quantile('sd', 0.5)}, 6) as median_rank_sd, count(sd) as n from s"""
+
+
+def experiment_summary(d: Dialect, records: str) -> str:
+    """Median, spread (0 for one run), runs and finite runs of each scenario, representation and model."""
+    return f"select scenario, representation, model, permuted, round({d.quantile('metric', 0.5)}, 6) as median, round(coalesce(stddev_samp(metric), 0), 6) as sd, count(*) as runs, count(metric) as finite_runs from ({records}) r group by scenario, representation, model, permuted"
+
+
+def verdict(d: Dialect, facts: str, *, lower: bool, supported: float, limited: float, dispersion: float, min_delta: float, max_p: float) -> str:
+    """The verdict ladder over facts (scenario, is_random, median, null_median, p_value, sd, random_median, n_overlap, min_class, floor)."""
+    s = -1 if lower else 1
+    return f"""select scenario, case when median is null then 'NOT_ASSESSABLE' when min_class < floor and not (not is_random and {s} * random_median >= {s * supported} and {s} * median < {s * limited}) then 'INSUFFICIENT_EVIDENCE'
+      when not is_random and {s} * random_median >= {s * supported} and {s} * median < {s * limited} then 'CONTRADICTED'
+      when not coalesce({s} * (median - null_median) >= {min_delta} and p_value <= {max_p}, false) or {s} * median < {s * limited} then 'INSUFFICIENT_EVIDENCE'
+      when {s} * median >= {s * supported} and coalesce(sd, 0) <= {dispersion} and n_overlap = 0 then 'SUPPORTED' else 'SUPPORTED_WITH_LIMITS' end as status from ({facts}) f"""
+
+
+def top_k_verdict(jaccard: float | None, stable: float, unstable: float) -> str:
+    if jaccard is None:
+        return "NOT_ASSESSABLE"
+    return "INSUFFICIENT_EVIDENCE" if jaccard < unstable else "SUPPORTED_WITH_LIMITS" if jaccard < stable else "SUPPORTED"

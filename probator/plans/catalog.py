@@ -1,3 +1,95 @@
-QUERIES = {}
-ORACLE_SQL = {}
-FLAGSHIP = ""
+"""The operators as queries over the given tables, each with the SQL that confirms it."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.dialect import ANSI, SPARK, Dialect
+from ..operators import audits as a
+from ..operators import evaluation as e
+from ..operators import splits as s
+
+ORDERS, LINES = "orders", "lineitem"
+RICH = "(select *, case when o_totalprice > 150000 then 1 else 0 end as label, case when o_orderkey % 10 < 7 then 'Train' when o_orderkey % 10 < 9 then 'holdout' else 'other' end as split from orders)"
+LINE_ROWS = "(select l_orderkey * 10 + l_linenumber as row_id, * from lineitem)"
+GROUPED = "(select *, case when o_custkey % 50 = 0 then null else o_custkey end as unit from orders)"
+
+
+def _rich(render) -> Callable[[Dialect], str]:
+    return lambda d: "with rich as " + RICH + " " + render(d).strip().replace("with ", ", ", 1) if render(d).strip().startswith("with ") else "with rich as " + RICH + " " + render(d)
+
+
+def _lines(render) -> Callable[[Dialect], str]:
+    return lambda d: "with ln as " + LINE_ROWS + " " + render(d).strip().replace("with ", ", ", 1) if render(d).strip().startswith("with ") else "with ln as " + LINE_ROWS + " " + render(d)
+
+
+_RUNS = "select o_orderkey % 3 as run, o_orderpriority as grp, o_custkey % 40 as candidate, max(o_totalprice) as score from orders group by o_orderkey % 3, o_orderpriority, o_custkey % 40"
+_RECORDS = "select o_orderpriority as scenario, o_orderstatus as representation, concat('m', cast(o_custkey % 3 as varchar(9))) as model, o_orderkey % 2 = 0 as permuted, case when o_orderkey % 11 = 0 then null else o_totalprice end as metric from orders"
+_PRED = lambda d: e.entity_means(d, "ln", "row_id", s.random_rows(d, "ln", "row_id", 11), "l_extendedprice", "l_partkey", "l_suppkey")
+_FACTS = """select o_orderpriority as scenario, o_orderpriority like '1%' as is_random, avg(o_totalprice) / 300000 as median, 0.1 as null_median, 0.05 as p_value, stddev_samp(o_totalprice) / 1000000 as sd, 0.7 as random_median, count(distinct o_orderstatus) - 3 as n_overlap, count(*) as min_class, 10 as floor from orders group by o_orderpriority"""
+
+
+PLANS: dict[str, Callable[[Dialect], str]] = {
+    "a01_a05_invalid_values": lambda d: a.invalid_values(d, ORDERS, ["o_totalprice"]),
+    "a06_high_cardinality": lambda d: a.high_cardinality(d, ORDERS, ["o_orderstatus", "o_orderpriority"]),
+    "a07_duplicate_rows": lambda d: a.duplicate_rows(d, ORDERS, ["o_custkey", "o_orderstatus", "o_orderpriority"]),
+    "a08_a09_entity_summary": lambda d: a.entity_summary(d, GROUPED + " t0", ["unit", "o_custkey"]),
+    "a10_label_conflicts": lambda d: a.conflicts(d, ORDERS, "o_custkey", "o_orderstatus"),
+    "a11_representation_conflicts": lambda d: a.conflicts(d, LINES, "l_partkey", "l_suppkey"),
+    "a12_pair_structure": lambda d: a.pair_structure(d, LINES, "l_partkey", "l_suppkey", "l_quantity"),
+    "a13_class_counts": lambda d: a.class_counts(d, ORDERS, "o_orderstatus"),
+    "a14_d11_binary_encoding": lambda d: a.binary_encoding(d, RICH + " t0", "label"),
+    "a15_target_summary": lambda d: a.target_summary(d, ORDERS, "o_totalprice"),
+    "a16_column_profile": lambda d: a.column_profile(d, ORDERS, ["o_custkey", "o_totalprice"], ["o_orderstatus", "o_orderpriority"]),
+    "a17_replicates": lambda d: a.replicates(d, LINES, ["l_partkey", "l_suppkey"], "l_extendedprice"),
+    "a18_coverage": lambda d: a.coverage(d, "events", ["user_id", "event_type"]),
+    "a19_class_support": lambda d: a.class_support(d, ORDERS, "o_custkey", "o_orderstatus"),
+    "a20_experiment_summary": lambda d: e.experiment_summary(d, _RECORDS),
+    "a26_group_distribution": lambda d: a.sum_distribution(d, "events", ["user_id", "event_type"]),
+    "a27_d04_policy_exclude": lambda d: a.resolve_conflicts(d, ORDERS, "o_custkey", "o_orderstatus", "exclude", "o_orderkey"),
+    "a27_d04_policy_aggregate": lambda d: a.resolve_conflicts(d, ORDERS, "o_custkey", "o_totalprice", "aggregate", "o_orderkey"),
+    "d02_identifier_leakage": lambda d: a.identifier_leakage(d, ORDERS, ["o_orderkey", "o_custkey"]),
+    "d10_d12_readiness": lambda d: a.findings(d, GROUPED + " t0", ["o_totalprice", "unit"], ["o_orderstatus"]),
+    "x01_random_split": lambda d: s.random_rows(d, ORDERS, "o_orderkey", 11),
+    "x02_group_split": lambda d: s.whole_groups(d, ORDERS, "o_orderkey", "o_custkey", 11),
+    "x03_cold_left": _lines(lambda d: s.whole_groups(d, "ln", "row_id", "l_partkey", 23)),
+    "x04_cold_right": _lines(lambda d: s.whole_groups(d, "ln", "row_id", "l_suppkey", 23)),
+    "x05_double_cold": _lines(lambda d: s.double_cold(d, "ln", "row_id", "l_partkey", "l_suppkey", 11)),
+    "x06_w05_time_split": lambda d: s.by_time(d, ORDERS, "o_orderkey", "o_orderdate"),
+    "x07_p03_supplied_split": lambda d: s.supplied(d, RICH + " t0", "o_orderkey", "split"),
+    "x10_nested_subsets": lambda d: s.nested_subsets(d, ORDERS, "o_orderkey", "o_custkey", 11),
+    "x12_permute_within_groups": lambda d: s.permute_within(d, ORDERS, "o_orderkey", "o_custkey", "o_totalprice", 11),
+    "u01_j05_entity_overlap": lambda d: s.overlap(d, ORDERS, "o_orderkey", s.random_rows(d, ORDERS, "o_orderkey", 11), ["o_custkey"]),
+    "u02_j06_pair_overlap": _lines(lambda d: s.overlap(d, "ln", "row_id", s.random_rows(d, "ln", "row_id", 11), ["l_partkey", "l_suppkey"])),
+    "u03_j08_record_overlap": _lines(lambda d: s.overlap(d, "ln", "row_id", s.random_rows(d, "ln", "row_id", 11), ["l_quantity", "l_discount", "l_tax"])),
+    "d07_claim_unseen": lambda d: s.claim(d, ORDERS, "o_orderkey", s.whole_groups(d, ORDERS, "o_orderkey", "o_custkey", 11), "o_custkey", None, "unseen_entity"),
+    "d07_claim_same_entity": lambda d: s.claim(d, ORDERS, "o_orderkey", s.random_rows(d, ORDERS, "o_orderkey", 11), "o_custkey", "o_orderstatus", "same_entity_across_context"),
+    "j01_m06_entity_means": _lines(lambda d: "select row_id, y_true, round(global_mean, 8) as global_mean, round(left_mean, 8) as left_mean, round(right_mean, 8) as right_mean, round(additive, 8) as additive from (" + _PRED(d) + ") z"),
+    "m07_m09_regression_metrics": _lines(lambda d: e.regression_metrics(d, _PRED(d), "y_true", "additive")),
+    "m10_kendall": lambda d: e.kendall_tau(d, "select s_suppkey as row_id, s_acctbal as y, cast(s_nationkey as double) as p from supplier", "y", "p"),
+    "m11_m14_classification_metrics": lambda d: e.classification_metrics(d, "select case when o_totalprice > 150000 then 1 else 0 end as y, (o_custkey % 97) / 97.0 as p from orders", "y", "p", 0.5),
+    "m16_permutation_summary": lambda d: e.permutation_summary(d, "select avg(o_totalprice) as o from orders", "select avg(o_totalprice) as v from orders group by o_custkey % 99", False),
+    "w02_rank_spread": lambda d: e.rank_spread(d, _RUNS),
+    "w03_o04_top_k": lambda d: e.top_k(d, _RUNS, 5),
+    "t01_ranking_stability": lambda d: e.ranking_stability(d, _RUNS, 5),
+    "c01_verdicts": lambda d: e.verdict(d, _FACTS, lower=False, supported=0.5, limited=0.2, dispersion=0.15, min_delta=0.05, max_p=0.1),
+}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+def _query(render: Callable[[Dialect], str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        sql = render(SPARK)
+        for t in TABLES:
+            if t in sql:
+                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        return spark.sql(sql)
+
+    return run
+
+
+FLAGSHIP = "a16_column_profile"
+QUERIES = {name: _query(render) for name, render in PLANS.items()}
+ORACLE_SQL = {name: render(ANSI) for name, render in PLANS.items()}

@@ -27,9 +27,11 @@ WORDS = 5
 #: Similarity in per cent.
 PERCENT = 75
 #: A token in more clusters than this is costly.
-COSTLY = 48
+COSTLY = 4
 #: How far a prefix may grow: this many tokens and 1 / SHARE of the set.
 ROOM, SHARE = 8, 8
+#: Documents of one block when candidates are verified.
+FAMILY = 64
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int):
@@ -84,31 +86,45 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.select("_row", "text").join(wanted.select(F.col("rep").alias("_row")), "_row").mapInArrow(work, "rep long, data binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
+def _verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough.
+
+    Sets travel to pairs of blocks, not to pairs of documents: documents with a common family share
+    blocks of about FAMILY, so each set is sent once for many partners, and no task holds more than two blocks.
+    """
+    placed = pairs.join(blocks.select(F.col("rep").alias("a"), F.col("block").alias("ba")), "a").join(blocks.select(F.col("rep").alias("b"), F.col("block").alias("bb")), "b")
+    members = placed.select("ba", "bb", F.explode(F.array("a", "b")).alias("rep")).distinct().join(sets, "rep")
+    none = F.lit(None)
+    both = members.select("ba", "bb", F.lit(0).alias("kind"), F.col("rep").alias("a"), none.cast("long").alias("b"), "data").unionByName(placed.select("ba", "bb", F.lit(1).alias("kind"), "a", "b", none.cast("binary").alias("data")))
+    both = both.repartition(C.partitions(pairs.sparkSession), "ba", "bb").sortWithinPartitions("ba", "bb", "kind")
 
     def work(batches):
+        now, held = None, {}
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * shared >= percent * (len(both) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    left = sets.select(F.col("rep").alias("a"), F.col("data").alias("x"))
-    right = sets.select(F.col("rep").alias("b"), F.col("data").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
-
-
-def _linked(rows: DataFrame, pairs: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+            found = []
+            data = batch.column(5)
+            for i, (x, y, kind, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)):
+                if (x, y) != now:
+                    now, held = (x, y), {}
+                if not kind:
+                    held[a] = np.frombuffer(data[i].as_py(), np.uint64)
+                    continue
+                merged = np.concatenate((held[a], held[b]))
+                merged.sort()
+                shared = int((merged[1:] == merged[:-1]).sum())
+                if 100 * shared >= percent * (len(merged) - shared):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return both.mapInArrow(work, "a long, b long")
+
+
+def _linked(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """The similar ones of the pairs; whole sets are made for the documents in them only."""
     pairs = C.written(pairs, f"{name}-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     full = C.written(_full_sets(rows, wanted, words), f"{name}-sets")
-    return C.written(_verified(pairs, full, percent), name)
+    return C.written(_verified(pairs, full, blocks, percent), name)
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -125,10 +141,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     posted = sets.select(F.col("_row").alias("rep"), "size", "tokens").join(reps.select("rep"), "rep", "left_semi").select("rep", "size", F.posexplode("tokens").alias("pos", "token"))
     tokens = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("token", "pivot")
     shared = C.written(posted.join(tokens, "token"), "ngram-postings")
+    # A document's family is the least holder of any of its tokens; families are cut in blocks by hash.
+    family = shared.groupBy("rep").agg(F.min("pivot").alias("family"))
+    blocks = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).alias("parts")), "family").select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
+    blocks = C.written(blocks, "ngram-blocks")
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     # First round: the least holder of many of a document's tokens.
     stars = shared.where("pivot < rep").groupBy("rep", "pivot", "size").agg(F.count("*").alias("n")).where(F.col("n") * 2 >= first).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    links = _linked(rows, stars, words, percent, "ngram-stars")
+    links = _linked(rows, stars, blocks, words, percent, "ngram-stars")
     nearest = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("up"))
     jump = nearest.select(F.col("rep").alias("up"), F.col("up").alias("top"))
     cluster = C.written(nearest.join(jump, "up", "left").select("rep", F.coalesce("top", "up").alias("cluster")), "ngram-clusters")
@@ -158,7 +178,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sy = dear.select("token", F.col("cluster").alias("cb"), F.col("rep").alias("y"), F.col("size").alias("sy"))
     pairs = pairs.unionByName(sx.join(sy, "token").where((F.col("ca") != F.col("cb")) & fits).select("x", "y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(_linked(rows, pairs, words, percent, "ngram-links"))
+    links = links.unionByName(_linked(rows, pairs, blocks, words, percent, "ngram-links"))
     found = connected_components(links)
     # Back to all documents: their class, its component, and the least id in it.
     members = sets.select("_id", "_row", "size", "same").join(reps, ["same", "size"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

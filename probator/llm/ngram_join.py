@@ -54,7 +54,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int):
 
 
 def _prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(_id, _row, size, same, tokens): the size and hash of the set, and its longest prefix."""
+    """(_id, _row, size, same, tokens, sketch): the size and hash of the set, its longest prefix, and 16 bits of each token."""
 
     def work(batches):
         for batch in batches:
@@ -68,9 +68,11 @@ def _prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(size)), longest)
                 take = np.arange(len(owner)) - np.repeat(np.cumsum(longest) - longest, longest) + bounds[owner]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(longest))), pa.int32()), pa.array(hashes[take].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(same.view(np.int64)), tokens], ["_id", "_row", "size", "same", "tokens"])
+                short = (hashes & np.uint64(0xFFFF)).astype(np.uint16)
+                sketch = [np.sort(short[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(same.view(np.int64)), tokens, pa.array(sketch, pa.binary())], ["_id", "_row", "size", "same", "tokens", "sketch"])
 
-    return rows.select("_id", "_row", "text").mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _row long, size long, same long, tokens array<long>")
+    return rows.select("_id", "_row", "text").mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _row long, size long, same long, tokens array<long>, sketch binary")
 
 
 def _full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -86,9 +88,17 @@ def _full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return rows.select("_row", "text").join(wanted.select(F.col("rep").alias("_row")), "_row").mapInArrow(work, "rep long, data binary")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+def _ranked16(sketch: np.ndarray) -> np.ndarray:
+    """A sorted multiset of 16-bit values as distinct numbers: value and how many equal ones stand before it."""
+    return sketch.astype(np.int64) << 32 | (np.arange(len(sketch)) - np.searchsorted(sketch, sketch))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int, sketched: bool) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough.
 
+    With ``sketched`` the sets are 16 bits of each token, and equal bits count as a match: that finds no less than the
+    truth, so it only clears pairs away, and those left are held against the tokens themselves.
+
     Sets travel to pairs of blocks, not to pairs of documents: documents with a common family share
     blocks of about FAMILY, so each set is sent once for many partners, and no task holds more than two blocks.
     """
@@ -107,7 +117,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int
                 if (x, y) != now:
                     now, held = (x, y), {}
                 if not kind:
-                    held[a] = np.frombuffer(data[i].as_py(), np.uint64)
+                    held[a] = _ranked16(np.frombuffer(data[i].as_py(), np.uint16)) if sketched else np.frombuffer(data[i].as_py(), np.uint64)
                     continue
                 merged = np.concatenate((held[a], held[b]))
                 merged.sort()
@@ -119,12 +129,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int
     return both.mapInArrow(work, "a long, b long")
 
 
-def _linked(rows: DataFrame, pairs: DataFrame, blocks: DataFrame, words: int, percent: int, name: str) -> DataFrame:
-    """The similar ones of the pairs; whole sets are made for the documents in them only."""
+def _linked(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, blocks: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+    """The similar ones of the pairs. Whole sets are made for those documents only that sketches leave in a pair."""
     pairs = C.written(pairs, f"{name}-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    left = C.written(_verified(pairs, sketches, blocks, percent, True), f"{name}-left")
+    wanted = left.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     full = C.written(_full_sets(rows, wanted, words), f"{name}-sets")
-    return C.written(_verified(pairs, full, blocks, percent), name)
+    return C.written(_verified(left, full, blocks, percent, False), name)
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -141,14 +152,15 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     posted = sets.select(F.col("_row").alias("rep"), "size", "tokens").join(reps.select("rep"), "rep", "left_semi").select("rep", "size", F.posexplode("tokens").alias("pos", "token"))
     tokens = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("token", "pivot")
     shared = C.written(posted.join(tokens, "token"), "ngram-postings")
-    # A document's family is the least holder of any of its tokens; families are cut in blocks by hash.
-    family = shared.groupBy("rep").agg(F.min("pivot").alias("family"))
+    sketches = sets.select(F.col("_row").alias("rep"), F.col("sketch").alias("data"))
+    # A document's family is the least holder of most of its tokens; families are cut in blocks by hash.
+    family = shared.groupBy("rep", "pivot").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("family"))
     blocks = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).alias("parts")), "family").select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
     blocks = C.written(blocks, "ngram-blocks")
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     # First round: the least holder of many of a document's tokens.
     stars = shared.where("pivot < rep").groupBy("rep", "pivot", "size").agg(F.count("*").alias("n")).where(F.col("n") * 2 >= first).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    links = _linked(rows, stars, blocks, words, percent, "ngram-stars")
+    links = _linked(rows, stars, sketches, blocks, words, percent, "ngram-stars")
     nearest = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("up"))
     jump = nearest.select(F.col("rep").alias("up"), F.col("up").alias("top"))
     cluster = C.written(nearest.join(jump, "up", "left").select("rep", F.coalesce("top", "up").alias("cluster")), "ngram-clusters")
@@ -178,7 +190,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sy = dear.select("token", F.col("cluster").alias("cb"), F.col("rep").alias("y"), F.col("size").alias("sy"))
     pairs = pairs.unionByName(sx.join(sy, "token").where((F.col("ca") != F.col("cb")) & fits).select("x", "y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(_linked(rows, pairs, blocks, words, percent, "ngram-links"))
+    links = links.unionByName(_linked(rows, pairs, sketches, blocks, words, percent, "ngram-links"))
     found = connected_components(links)
     # Back to all documents: their class, its component, and the least id in it.
     members = sets.select("_id", "_row", "size", "same").join(reps, ["same", "size"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

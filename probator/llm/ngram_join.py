@@ -7,8 +7,8 @@ fewer than l of its tokens are such costly ones: among l shared tokens at least
 looking up the cheap ones finds every partner.  Documents whose prefix cannot be lengthened enough
 look up their costly tokens as well.
 
-Classes first: equal sets are one document, and documents that a first round finds similar to the least holder of their
-tokens (a star, never all pairs) are one cluster.  Cost counts clusters, and only pairs of different clusters are
+Classes first: equal sets are one document, and documents that a first round links to a holder of their
+tokens (stars, never all pairs) are one cluster.  Cost counts clusters, and only pairs of different clusters are
 candidates, so a group of n near copies takes about n comparisons.  Every candidate is
 verified on its whole set; links within a cluster are implied by connectivity.
 """
@@ -28,8 +28,8 @@ WORDS = 5
 PERCENT = 75
 #: A token in more clusters than this is costly.
 COSTLY = 4
-#: How far a prefix may grow: this many tokens and 1 / SHARE of the set.
-ROOM, SHARE = 8, 8
+#: How far a prefix may grow: over the whole set up to FULL tokens, else by 1 / SHARE of the set.
+FULL, SHARE = 256, 6
 #: Documents of one block when candidates are verified.
 FAMILY = 64
 
@@ -64,7 +64,7 @@ def _prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 h = C.prefix_hash(hashes)
                 same = C.span_hash(h, bounds[:-1], bounds[1:])
                 need = -(-size * percent // 100)
-                longest = np.minimum(size, size - need + 1 + ROOM + size // SHARE)
+                longest = np.where(size <= FULL, size, np.minimum(size, size - need + 1 + size // SHARE))
                 owner = np.repeat(np.arange(len(size)), longest)
                 take = np.arange(len(owner)) - np.repeat(np.cumsum(longest) - longest, longest) + bounds[owner]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(longest))), pa.int32()), pa.array(hashes[take].view(np.int64)))
@@ -158,24 +158,30 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     blocks = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).alias("parts")), "family").select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
     blocks = C.written(blocks, "ngram-blocks")
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    # First round: the least holder of many of a document's tokens.
-    stars = shared.where("pivot < rep").groupBy("rep", "pivot", "size").agg(F.count("*").alias("n")).where(F.col("n") * 2 >= first).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+    # First round: stars around the least holder of a token, and around the holder with the largest share of tokens that
+    # others have: an original has more of them than its edited copies, which may be too far from each other to link.
+    ranks = shared.groupBy("rep", "size").agg(F.round(F.count("*") / F.col("size"), 3).alias("share")).select("rep", "share")
+    hubs = shared.select("rep", "token").join(ranks, "rep").groupBy("token").agg(F.max_by("rep", F.struct("share", -F.col("rep"))).alias("hub"))
+    around = shared.select("rep", "size", F.col("pivot").alias("hub")).unionByName(shared.select("rep", "size", "token").join(hubs, "token").where("hub <> rep").select("rep", "size", "hub"))
+    stars = around.where("hub <> rep").groupBy("rep", "hub", "size").agg(F.count("*").alias("n")).where(F.col("n") * 2 >= first)
+    stars = stars.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = _linked(rows, stars, sketches, blocks, words, percent, "ngram-stars")
-    nearest = links.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("up"))
-    jump = nearest.select(F.col("rep").alias("up"), F.col("up").alias("top"))
-    cluster = C.written(nearest.join(jump, "up", "left").select("rep", F.coalesce("top", "up").alias("cluster")), "ngram-clusters")
+    cluster = C.written(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "ngram-clusters")
     known = shared.select("rep", "size", "pos", "token").join(cluster, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
     kinds = known.groupBy("token", "cluster").agg(F.count("*").alias("n"))
     wide = kinds.groupBy("token").agg(F.count("*").alias("clusters")).where("clusters > 1")
     known = C.written(known.join(wide.select("token", (F.col("clusters") > COSTLY).alias("costly")), "token"), "ngram-wide")
     # j costly tokens stand within the first (1-match prefix + j) tokens: the prefix must be j longer, and j + 1 matches are due.
     costly = known.where("costly").select("rep", "size", "pos").groupBy("rep", "size").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    costly = costly.select("rep", F.expr(f"size(filter(at, (p, j) -> p - j < size - ceil(size * {percent} / 100) + 1))").cast("long").alias("j"))
-    room = F.least(F.lit(ROOM) + F.floor(F.col("size") / SHARE), F.ceil(F.col("size") * percent / 100) - 1)
+    costly = costly.select("rep", "at", F.expr(f"size(filter(at, (p, j) -> p - j < size - ceil(size * {percent} / 100) + 1))").cast("long").alias("j"))
+    room = F.when(F.col("size") <= FULL, F.col("size") - first).otherwise(F.floor(F.col("size") / SHARE))
     known = known.join(costly, "rep", "left").withColumn("j", F.coalesce("j", F.lit(0)))
-    known = known.withColumn("stuck", F.col("j") > room)
-    known = known.withColumn("reach", first + F.when(F.col("stuck"), 0).otherwise(F.col("j")))
-    known = C.written(known.where("pos < reach").select("rep", "size", "token", "cluster", "costly", "stuck"), "ngram-active")
+    known = known.withColumns({"stuck": (F.col("j") > room) & (F.col("size") > FULL), "short": (F.col("j") > room) & (F.col("size") <= FULL)})
+    # A stuck document keeps its 1-match prefix. A short one has fewer cheap tokens than a prefix takes: all of them, and the first costly ones to fill it.
+    quota = first - (F.col("size") - F.size("at"))
+    known = known.withColumn("fills", F.col("short") & F.col("costly") & (F.array_position("at", F.col("pos")) <= quota))
+    reach = F.when(F.col("short"), F.col("size")).when(F.col("stuck"), first).otherwise(first + F.col("j"))
+    known = C.written(known.where((F.col("pos") < reach)).select("rep", "size", "token", "cluster", "costly", "stuck", "fills", (F.col("pos") < first).alias("near")), "ngram-active")
     # Cheap tokens: pairs of different clusters, met cluster by cluster so that nothing within a cluster is paired.
     cheap = known.where("not costly")
     near = cheap.groupBy("token", "cluster").agg(F.count("*").alias("n"))
@@ -184,11 +190,11 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     y = cheap.select("token", F.col("cluster").alias("cb"), F.col("rep").alias("y"), F.col("size").alias("sy"))
     fits = 100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")
     pairs = meet.join(x, ["token", "ca"]).join(y, ["token", "cb"]).where(fits).select("x", "y")
-    # Costly tokens: only for documents that are stuck with them.
+    # Costly tokens: short documents among each other, and stuck ones with whoever has the token in its 1-match prefix.
     dear = known.where("costly")
-    sx = dear.where("stuck").select("token", F.col("cluster").alias("ca"), F.col("rep").alias("x"), F.col("size").alias("sx"))
-    sy = dear.select("token", F.col("cluster").alias("cb"), F.col("rep").alias("y"), F.col("size").alias("sy"))
-    pairs = pairs.unionByName(sx.join(sy, "token").where((F.col("ca") != F.col("cb")) & fits).select("x", "y"))
+    side = lambda df, c, r, n: df.select("token", F.col("cluster").alias(c), F.col("rep").alias(r), F.col("size").alias(n))
+    for one, other in ((dear.where("fills"), dear.where("fills")), (dear.where("stuck"), dear.where("near"))):
+        pairs = pairs.unionByName(side(one, "ca", "x", "sx").join(side(other, "cb", "y", "sy"), "token").where((F.col("ca") != F.col("cb")) & (F.col("x") != F.col("y")) & fits).select("x", "y"))
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.unionByName(_linked(rows, pairs, sketches, blocks, words, percent, "ngram-links"))
     found = connected_components(links)

@@ -314,7 +314,9 @@ def digest(spans) -> str:
 
 def masked_documents(docs: DataFrame, *, text_col: str = "text", field: Field | None = None) -> DataFrame:
     """docs with the same columns and rows, personal data in ``text_col`` replaced by the kind in brackets."""
-    names = docs.columns
+    own = docs.columns
+    names, text_col = [f"c{i}" for i in range(len(own))], f"c{own.index(text_col)}"  # no column's name can clash
+    docs = docs.toDF(*names)
     found = find_pii(docs, id_col=text_col, text_col=text_col, keep=tuple(c for c in names if c != text_col), field=field)
 
     def mask(batches):
@@ -329,4 +331,4 @@ def masked_documents(docs: DataFrame, *, text_col: str = "text", field: Field |
                 texts = pa.array(out, texts.type)
             yield pa.RecordBatch.from_arrays([texts if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names], names)
 
-    return found.select(*names, "spans").mapInArrow(mask, docs.schema)
+    return found.select(*names, "spans").mapInArrow(mask, docs.schema).toDF(*own)

@@ -29,7 +29,7 @@ PERCENT = 75
 #: A token in more clusters than this is costly.
 COSTLY = 4
 #: How far a prefix may grow: over the whole set up to FULL tokens, else by 1 / SHARE of the set.
-FULL, SHARE = 256, 6
+FULL, SHARE = 256, 10
 #: Documents of one block when candidates are verified.
 FAMILY = 64
 
@@ -151,6 +151,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     # Postings of the representatives' prefixes, without tokens that only one of them has.
     posted = sets.select(F.col("_row").alias("rep"), "size", "tokens").join(reps.select("rep"), "rep", "left_semi").select("rep", "size", F.posexplode("tokens").alias("pos", "token"))
     tokens = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("token", "pivot")
+    tokens = C.written(tokens, "ngram-tokens")  # its shuffle is gone before the next one starts
     shared = C.written(posted.join(tokens, "token"), "ngram-postings")
     sketches = sets.select(F.col("_row").alias("rep"), F.col("sketch").alias("data"))
     # A document's family is the least holder of most of its tokens; families are cut in blocks by hash.

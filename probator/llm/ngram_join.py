@@ -7,6 +7,10 @@ fewer than l of its tokens are such costly ones: among l shared tokens at least
 looking up the cheap ones finds every partner.  Documents whose prefix cannot be lengthened enough
 look up their costly tokens as well.
 
+Tokens that no other cluster holds cannot be shared: they shorten the prefix, since the same number of matches is due from
+fewer tokens, and with the places of a shared token they bound how much two sets can have in common.
+A document with too few other tokens has no partner, and pairs whose bound is too small are not made.
+
 Classes first: equal sets are one document, and documents that a first round links to a holder of their
 tokens (stars, never all pairs) are one cluster.  Cost counts clusters, and only pairs of different clusters are
 candidates, so a group of n near copies takes about n comparisons.  Every candidate is
@@ -17,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -28,8 +32,9 @@ WORDS = 5
 PERCENT = 75
 #: A token in more clusters than this is costly.
 COSTLY = 4
-#: How far a prefix may grow: over the whole set up to FULL tokens, else by 1 / SHARE of the set.
-FULL, SHARE = 256, 10
+#: How far a prefix may grow: over the whole set up to FULL tokens, else over the hashes below LOW, which are REACH of all.
+FULL, REACH = 256, 0.35
+LOW = np.uint64(int(REACH * 2**64))
 #: Documents of one block when candidates are verified.
 FAMILY = 64
 
@@ -54,7 +59,11 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int):
 
 
 def _prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(_id, _row, size, same, tokens, sketch): the size and hash of the set, its longest prefix, and 16 bits of each token."""
+    """(_id, _row, size, posted, counted, same, tokens, sketch).
+
+    size and same: the size and hash of the set. tokens: its longest prefix, ``posted`` tokens. The first ``counted`` of them
+    are in the prefix of any similar set that holds them. sketch: 16 bits of each token.
+    """
 
     def work(batches):
         for batch in batches:
@@ -64,15 +73,17 @@ def _prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 h = C.prefix_hash(hashes)
                 same = C.span_hash(h, bounds[:-1], bounds[1:])
                 need = -(-size * percent // 100)
-                longest = np.where(size <= FULL, size, np.minimum(size, size - need + 1 + size // SHARE))
+                low = np.diff(np.concatenate(([0], np.cumsum(hashes < LOW)))[bounds])
+                longest = np.where(size <= FULL, size, np.maximum(size - need + 1, low))
+                counted = np.where(100 * size <= FULL * percent, size, low)
                 owner = np.repeat(np.arange(len(size)), longest)
                 take = np.arange(len(owner)) - np.repeat(np.cumsum(longest) - longest, longest) + bounds[owner]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(longest))), pa.int32()), pa.array(hashes[take].view(np.int64)))
                 short = (hashes & np.uint64(0xFFFF)).astype(np.uint16)
                 sketch = [np.sort(short[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), pa.array(size, pa.int64()), pa.array(same.view(np.int64)), tokens, pa.array(sketch, pa.binary())], ["_id", "_row", "size", "same", "tokens", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), *(pa.array(c, pa.int64()) for c in (size, longest, counted)), pa.array(same.view(np.int64)), tokens, pa.array(sketch, pa.binary())], ["_id", "_row", "size", "posted", "counted", "same", "tokens", "sketch"])
 
-    return rows.select("_id", "_row", "text").mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _row long, size long, same long, tokens array<long>, sketch binary")
+    return rows.select("_id", "_row", "text").mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _row long, size long, posted long, counted long, same long, tokens array<long>, sketch binary")
 
 
 def _full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -138,6 +149,48 @@ def _linked(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, blocks: Data
     return C.written(_verified(left, full, blocks, percent, False), name)
 
 
+def _active(known: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """(rep, size, most, token, cluster, costly, place, stuck, fills, near): what each document looks up.
+
+    ``most`` is how many of its tokens another cluster may hold, ``place`` how many of these stand before the token when
+    cheap ones come first. The prefix in that order is what l matches leave of the longer one: l - 1 costly tokens less.
+    """
+    whole = Window.partitionBy("rep")
+    sofar = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    dear = F.col("costly").cast("long")
+    known = known.join(prefixes, "rep")
+    known = known.withColumns({"alone": F.col("counted") - F.sum((F.col("pos") < F.col("counted")).cast("long")).over(whole), "rank": F.count("*").over(sofar) - 1, "before": F.sum(dear).over(sofar) - dear, "dear": F.sum(dear).over(whole)})
+    known = known.withColumn("most", F.col("size") - F.col("alone"))
+    known = known.withColumns({"first": F.col("most") - F.expr(f"(size * {percent} + 99) div 100") + 1, "rank": F.when(F.col("pos") < F.col("counted"), F.col("rank")).otherwise(F.col("pos") - F.col("alone")), "cheap": F.col("posted") - F.col("alone") - F.col("dear")})
+    few, ends = F.col("cheap") < F.col("first"), F.col("posted") == F.col("size")
+    # A set that is all posted takes all its cheap tokens and the first costly ones; a longer one that is stuck keeps its 1-match prefix.
+    known = known.withColumns({"short": few & ends, "stuck": few & ~ends, "near": F.col("rank") < F.col("first")})
+    known = known.withColumns({"fills": F.col("short") & F.col("costly") & (F.col("before") < F.col("first") - F.col("cheap")), "place": F.when(F.col("costly"), F.col("cheap") + F.col("before")).otherwise(F.col("rank") - F.col("before"))})
+    looks = F.when(F.col("costly"), F.col("fills") | (F.col("near") & (100 * F.col("size") > FULL * percent))).when(F.col("stuck"), F.col("near")).otherwise(F.col("place") < F.col("first"))
+    return known.where((F.col("first") > 0) & looks).select("rep", "size", "most", "token", "cluster", "costly", "place", "stuck", "fills", "near")
+
+
+def _candidates(known: DataFrame, percent: int) -> DataFrame:
+    """(x, y): documents of different clusters that share a token they look up and can have enough in common."""
+
+    def side(rows: DataFrame, cluster: str, k: str) -> DataFrame:
+        return rows.select("token", F.col("cluster").alias(cluster), F.col("rep").alias(k), F.col("size").alias(f"s{k}"), F.col("most").alias(f"m{k}"), F.col("place").alias(f"p{k}"))
+
+    def enough(shared) -> object:
+        return (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")) & ((100 + percent) * shared >= percent * (F.col("sx") + F.col("sy")))
+
+    by_place = enough(F.least("px", "py") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py")))
+    # Cheap tokens: pairs of clusters first, so that nothing within a cluster is paired.
+    cheap = known.where("not costly")
+    held = cheap.groupBy("token", "cluster").agg(F.count("*").alias("n"))
+    meet = held.select("token", F.col("cluster").alias("ca")).join(held.select("token", F.col("cluster").alias("cb")), "token").where("ca < cb")
+    pairs = meet.join(side(cheap, "ca", "x"), ["token", "ca"]).join(side(cheap, "cb", "y"), ["token", "cb"]).where(by_place).select("x", "y")
+    # Costly tokens: short documents among each other, and stuck ones with whoever has the token in its 1-match prefix.
+    dear, fills = known.where("costly"), known.where("fills")
+    pairs = pairs.unionByName(side(fills, "ca", "x").join(side(fills, "cb", "y"), "token").where((F.col("ca") < F.col("cb")) & by_place).select("x", "y"))
+    return pairs.unionByName(side(dear.where("stuck"), "ca", "x").join(side(dear.where("near"), "cb", "y"), "token").where((F.col("ca") != F.col("cb")) & enough(F.least("mx", "my"))).select("x", "y"))
+
+
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row for each document: id, _row, n_shingles, component_id (least id reachable by links), is_first (of its component, by id and row).
 
@@ -172,30 +225,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kinds = known.groupBy("token", "cluster").agg(F.count("*").alias("n"))
     wide = kinds.groupBy("token").agg(F.count("*").alias("clusters")).where("clusters > 1")
     known = C.written(known.join(wide.select("token", (F.col("clusters") > COSTLY).alias("costly")), "token"), "ngram-wide")
-    # j costly tokens stand within the first (1-match prefix + j) tokens: the prefix must be j longer, and j + 1 matches are due.
-    costly = known.where("costly").select("rep", "size", "pos").groupBy("rep", "size").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    costly = costly.select("rep", "at", F.expr(f"size(filter(at, (p, j) -> p - j < size - ceil(size * {percent} / 100) + 1))").cast("long").alias("j"))
-    room = F.when(F.col("size") <= FULL, F.col("size") - first).otherwise(F.floor(F.col("size") / SHARE))
-    known = known.join(costly, "rep", "left").withColumn("j", F.coalesce("j", F.lit(0)))
-    known = known.withColumns({"stuck": (F.col("j") > room) & (F.col("size") > FULL), "short": (F.col("j") > room) & (F.col("size") <= FULL)})
-    # A stuck document keeps its 1-match prefix. A short one has fewer cheap tokens than a prefix takes: all of them, and the first costly ones to fill it.
-    quota = first - (F.col("size") - F.size("at"))
-    known = known.withColumn("fills", F.col("short") & F.col("costly") & (F.array_position("at", F.col("pos")) <= quota))
-    reach = F.when(F.col("short"), F.col("size")).when(F.col("stuck"), first).otherwise(first + F.col("j"))
-    known = C.written(known.where((F.col("pos") < reach)).select("rep", "size", "token", "cluster", "costly", "stuck", "fills", (F.col("pos") < first).alias("near")), "ngram-active")
-    # Cheap tokens: pairs of different clusters, met cluster by cluster so that nothing within a cluster is paired.
-    cheap = known.where("not costly")
-    near = cheap.groupBy("token", "cluster").agg(F.count("*").alias("n"))
-    meet = near.select("token", F.col("cluster").alias("ca")).join(near.select("token", F.col("cluster").alias("cb")), "token").where("ca < cb")
-    x = cheap.select("token", F.col("cluster").alias("ca"), F.col("rep").alias("x"), F.col("size").alias("sx"))
-    y = cheap.select("token", F.col("cluster").alias("cb"), F.col("rep").alias("y"), F.col("size").alias("sy"))
-    fits = 100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")
-    pairs = meet.join(x, ["token", "ca"]).join(y, ["token", "cb"]).where(fits).select("x", "y")
-    # Costly tokens: short documents among each other, and stuck ones with whoever has the token in its 1-match prefix.
-    dear = known.where("costly")
-    side = lambda df, c, r, n: df.select("token", F.col("cluster").alias(c), F.col("rep").alias(r), F.col("size").alias(n))
-    for one, other in ((dear.where("fills"), dear.where("fills")), (dear.where("stuck"), dear.where("near"))):
-        pairs = pairs.unionByName(side(one, "ca", "x", "sx").join(side(other, "cb", "y", "sy"), "token").where((F.col("ca") != F.col("cb")) & (F.col("x") != F.col("y")) & fits).select("x", "y"))
+    known = C.written(_active(known, sets.select(F.col("_row").alias("rep"), "posted", "counted"), percent), "ngram-active")
+    pairs = _candidates(known, percent)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.unionByName(_linked(rows, pairs, sketches, blocks, words, percent, "ngram-links"))
     found = connected_components(links)

@@ -9,7 +9,9 @@ look up their costly tokens as well.
 
 Tokens that no other cluster holds cannot be shared: they shorten the prefix, since the same number of matches is due from
 fewer tokens, and with the places of a shared token they bound how much two sets can have in common.
-A document with too few other tokens has no partner, and pairs whose bound is too small are not made.
+A document with too few other tokens has no partner, and pairs whose bound is too small are not made.  Nor are pairs whose
+bitmaps differ in too many bits: a set's bitmap has the parity of its tokens at each place, so sets differ in at least as
+many tokens as their bitmaps in bits.
 
 Classes first: equal sets are one document, and documents that a first round links to a holder of their
 tokens (stars, never all pairs) are one cluster.  Cost counts clusters, and only pairs of different clusters are
@@ -35,6 +37,8 @@ COSTLY = 4
 #: How far a prefix may grow: over the whole set up to FULL tokens, else over the hashes below LOW, which are REACH of all.
 FULL, REACH = 256, 0.35
 LOW = np.uint64(int(REACH * 2**64))
+#: Names of the 64-bit parts of a set's bitmap.
+BITS = [f"bits{k}" for k in range(8)]
 #: Documents of one block when candidates are verified.
 FAMILY = 64
 
@@ -59,10 +63,10 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int):
 
 
 def _prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """(_id, _row, size, posted, counted, same, tokens, sketch).
+    """(_id, _row, size, posted, counted, same, tokens, sketch, bits0 and so on).
 
     size and same: the size and hash of the set. tokens: its longest prefix, ``posted`` tokens. The first ``counted`` of them
-    are in the prefix of any similar set that holds them. sketch: 16 bits of each token.
+    are in the prefix of any similar set that holds them. sketch: 16 bits of each token. And the set's bitmap.
     """
 
     def work(batches):
@@ -79,11 +83,14 @@ def _prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(size)), longest)
                 take = np.arange(len(owner)) - np.repeat(np.cumsum(longest) - longest, longest) + bounds[owner]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(longest))), pa.int32()), pa.array(hashes[take].view(np.int64)))
+                place = np.repeat(np.arange(len(size)), size) * (64 * len(BITS)) + ((hashes >> np.uint64(20)) % np.uint64(64 * len(BITS))).astype(np.int64)
+                odd = (np.bincount(place, minlength=len(size) * 64 * len(BITS)) & 1).astype(np.uint8)
+                bits = np.packbits(odd).view(np.int64).reshape(len(size), len(BITS))
                 short = (hashes & np.uint64(0xFFFF)).astype(np.uint16)
                 sketch = [np.sort(short[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), *(pa.array(c, pa.int64()) for c in (size, longest, counted)), pa.array(same.view(np.int64)), tokens, pa.array(sketch, pa.binary())], ["_id", "_row", "size", "posted", "counted", "same", "tokens", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), *(pa.array(c, pa.int64()) for c in (size, longest, counted)), pa.array(same.view(np.int64)), tokens, pa.array(sketch, pa.binary()), *(pa.array(bits[:, k]) for k in range(len(BITS)))], ["_id", "_row", "size", "posted", "counted", "same", "tokens", "sketch", *BITS])
 
-    return rows.select("_id", "_row", "text").mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _row long, size long, posted long, counted long, same long, tokens array<long>, sketch binary")
+    return rows.select("_id", "_row", "text").mapInArrow(work, f"_id {rows.schema['_id'].dataType.simpleString()}, _row long, size long, posted long, counted long, same long, tokens array<long>, sketch binary, {', '.join(b + ' long' for b in BITS)}")
 
 
 def _full_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -174,10 +181,12 @@ def _candidates(known: DataFrame, percent: int) -> DataFrame:
     """(x, y): documents of different clusters that share a token they look up and can have enough in common."""
 
     def side(rows: DataFrame, cluster: str, k: str) -> DataFrame:
-        return rows.select("token", F.col("cluster").alias(cluster), F.col("rep").alias(k), F.col("size").alias(f"s{k}"), F.col("most").alias(f"m{k}"), F.col("place").alias(f"p{k}"))
+        return rows.select("token", F.col("cluster").alias(cluster), F.col("rep").alias(k), F.col("size").alias(f"s{k}"), F.col("most").alias(f"m{k}"), F.col("place").alias(f"p{k}"), *(F.col(b).alias(f"{b}{k}") for b in BITS))
 
     def enough(shared) -> object:
-        return (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")) & ((100 + percent) * shared >= percent * (F.col("sx") + F.col("sy")))
+        both = F.col("sx") + F.col("sy")
+        differ = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in BITS), F.lit(0))
+        return (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")) & ((100 + percent) * shared >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
 
     by_place = enough(F.least("px", "py") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py")))
     # Cheap tokens: pairs of clusters first, so that nothing within a cluster is paired.
@@ -225,7 +234,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     kinds = known.groupBy("token", "cluster").agg(F.count("*").alias("n"))
     wide = kinds.groupBy("token").agg(F.count("*").alias("clusters")).where("clusters > 1")
     known = C.written(known.join(wide.select("token", (F.col("clusters") > COSTLY).alias("costly")), "token"), "ngram-wide")
-    known = C.written(_active(known, sets.select(F.col("_row").alias("rep"), "posted", "counted"), percent), "ngram-active")
+    known = C.written(_active(known, sets.select(F.col("_row").alias("rep"), "posted", "counted"), percent).join(sets.select(F.col("_row").alias("rep"), *BITS), "rep"), "ngram-active")
     pairs = _candidates(known, percent)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.unionByName(_linked(rows, pairs, sketches, blocks, words, percent, "ngram-links"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -172,9 +173,19 @@ def shared_dir(spark: SparkSession, name: str = "work") -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: lineage ends here and no later step repeats the work."""
-    path = shared_dir(df.sparkSession, name)
+    return passing(df, name)[0]
+
+
+def passing(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The same, and a function that deletes the table. Call it when whatever was made from the table has been written."""
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop() -> None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+    return spark.read.schema(df.schema).parquet(path), drop
 
 
 def partitions(spark: SparkSession) -> int:

@@ -21,6 +21,8 @@ verified on its whole set; links within a cluster are implied by connectivity.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -37,6 +39,8 @@ COSTLY = 4
 #: How far a prefix may grow: over the whole set up to FULL tokens, else over the hashes below LOW, which are REACH of all.
 FULL, REACH = 256, 0.35
 LOW = np.uint64(int(REACH * 2**64))
+#: Passes over the tokens when postings are made.
+PASSES = 2
 #: Names of the 64-bit parts of a set's bitmap.
 BITS = [f"bits{k}" for k in range(8)]
 #: Documents of one block when candidates are verified.
@@ -149,11 +153,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, blocks: DataFrame, percent: int
 
 def _linked(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, blocks: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """The similar ones of the pairs. Whole sets are made for those documents only that sketches leave in a pair."""
-    pairs = C.written(pairs, f"{name}-pairs")
-    left = C.written(_verified(pairs, sketches, blocks, percent, True), f"{name}-left")
+    pairs, drop_pairs = C.passing(pairs, f"{name}-pairs")
+    left, drop_left = C.passing(_verified(pairs, sketches, blocks, percent, True), f"{name}-left")
+    drop_pairs()
     wanted = left.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    full = C.written(_full_sets(rows, wanted, words), f"{name}-sets")
-    return C.written(_verified(left, full, blocks, percent, False), name)
+    full, drop_full = C.passing(_full_sets(rows, wanted, words), f"{name}-sets")
+    links = C.written(_verified(left, full, blocks, percent, False), name)
+    drop_left()
+    drop_full()
+    return links
 
 
 def _active(known: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -212,9 +220,14 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     reps = C.written(classes, "ngram-classes")
     # Postings of the representatives' prefixes, without tokens that only one of them has.
     posted = sets.select(F.col("_row").alias("rep"), "size", "tokens").join(reps.select("rep"), "rep", "left_semi").select("rep", "size", F.posexplode("tokens").alias("pos", "token"))
-    tokens = posted.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("token", "pivot")
-    tokens = C.written(tokens, "ngram-tokens")  # its shuffle is gone before the next one starts
-    shared = C.written(posted.join(tokens, "token"), "ngram-postings")
+    # In passes over a share of the tokens each, so that the postings are never all in shuffle files at once.
+    parts = []
+    for k in range(PASSES):
+        some = posted.where(F.pmod("token", F.lit(PASSES)) == k)
+        tokens, drop_tokens = C.passing(some.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("token", "pivot"), "ngram-tokens")
+        parts.append(C.passing(some.join(tokens, "token"), "ngram-postings"))
+        drop_tokens()
+    shared = reduce(DataFrame.unionByName, (part for part, _ in parts))
     sketches = sets.select(F.col("_row").alias("rep"), F.col("sketch").alias("data"))
     # A document's family is the least holder of most of its tokens; families are cut in blocks by hash.
     family = shared.groupBy("rep", "pivot").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("family"))
@@ -233,11 +246,15 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     known = shared.select("rep", "size", "pos", "token").join(cluster, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
     kinds = known.groupBy("token", "cluster").agg(F.count("*").alias("n"))
     wide = kinds.groupBy("token").agg(F.count("*").alias("clusters")).where("clusters > 1")
-    known = C.written(known.join(wide.select("token", (F.col("clusters") > COSTLY).alias("costly")), "token"), "ngram-wide")
-    known = C.written(_active(known, sets.select(F.col("_row").alias("rep"), "posted", "counted"), percent).join(sets.select(F.col("_row").alias("rep"), *BITS), "rep"), "ngram-active")
+    known, drop_wide = C.passing(known.join(wide.select("token", (F.col("clusters") > COSTLY).alias("costly")), "token"), "ngram-wide")
+    for _, drop in parts:
+        drop()
+    known, drop_known = C.passing(_active(known, sets.select(F.col("_row").alias("rep"), "posted", "counted"), percent).join(sets.select(F.col("_row").alias("rep"), *BITS), "rep"), "ngram-active")
+    drop_wide()
     pairs = _candidates(known, percent)
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     links = links.unionByName(_linked(rows, pairs, sketches, blocks, words, percent, "ngram-links"))
+    drop_known()
     found = connected_components(links)
     # Back to all documents: their class, its component, and the least id in it.
     members = sets.select("_id", "_row", "size", "same").join(reps, ["same", "size"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -55,6 +55,19 @@ def classification_metrics(d: Dialect, predictions: str, y: str, p: str, thresho
       round(avg(-(y * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - y) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7)))), 6) as log_loss from k"""
 
 
+def group_ranking(d: Dialect, predictions: str, k: int) -> str:
+    """Medians over groups of two rows or more of Spearman and of NDCG at k. predictions: grp, y, p.
+
+    Relevance is y above the group's least; tied scores share their mean gain; groups without relevance have no NDCG.
+    """
+    mean = lambda c: f"rank() over (partition by grp order by {c}) + (count(*) over (partition by grp, {c}) - 1) / 2e0"
+    return f"""with f as (select grp, cast(y as double) as y, cast(p as double) as p from ({predictions}) q where {_finite('y', 'p')}),
+    w as (select grp, p, y - min(y) over (partition by grp) as rel, row_number() over (partition by grp order by p desc) as place, row_number() over (partition by grp order by y desc) as ideal, cast({mean('y')} as double) as a, cast({mean('p')} as double) as b from f),
+    x as (select *, avg(rel) over (partition by grp, p) as gain from w),
+    s as (select grp, (avg(a * b) - avg(a) * avg(b)) / nullif(sqrt(var_pop(a)) * sqrt(var_pop(b)), 0) as rho, sum(case when place <= {k} then gain / ln(place + 1) end) / nullif(sum(case when ideal <= {k} then rel / ln(ideal + 1) end), 0) as ndcg from x group by grp having count(*) >= 2)
+    select round({d.quantile('rho', 0.5)}, 5) as median_spearman, round({d.quantile('ndcg', 0.5)}, 5) as median_ndcg, count(*) as n_groups from s"""
+
+
 def permutation_summary(d: Dialect, observed: str, null: str, lower: bool) -> str:
     """(1 + draws at least as good) / (1 + draws), and the null's quantiles. null: one column ``v``."""
     good = "v <= o" if lower else "v >= o"

@@ -1,0 +1,15 @@
+"""Features that need no library: plans over one text column."""
+
+from __future__ import annotations
+
+from ..functions.dialect import Dialect
+
+#: The one-letter codes of the amino acids.
+LETTERS = "ACDEFGHIKLMNPQRSTVWY"
+
+
+def composition(d: Dialect, table: str, row: str, text: str) -> str:
+    """The share of each letter in the upper-cased text. A null or empty text has zeros."""
+    s = f"upper(coalesce({text}, ''))"
+    shares = ", ".join(f"round((length(s) - length(replace(s, '{c}', ''))) / cast(greatest(length(s), 1) as double), 6) as share_{c.lower()}" for c in LETTERS)
+    return f"select row_id, {shares} from (select {row} as row_id, {s} as s from {table}) t"

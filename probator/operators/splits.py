@@ -50,6 +50,14 @@ def supplied(d: Dialect, table: str, row: str, label: str) -> str:
     return f"select {row} as row_id, case lower({d.text(label)}) when 'train' then 'train' when 'test' then 'test' when 'holdout' then 'test' else 'excluded' end as part from {table}"
 
 
+def development_rows(d: Dialect, table: str, row: str, labels: list[str]) -> str:
+    """Rows that any of the supplied splits has for training, and whether all splits agree on the row; without any such split, all rows."""
+    if not labels:
+        return f"select {row} as row_id, true as agreed from {table}"
+    marks = [f"coalesce(lower({d.text(c)}) = 'train', false)" for c in labels]
+    return f"select {row} as row_id, {' and '.join(marks)} as agreed from {table} where {' or '.join(marks)}"
+
+
 def overlap(d: Dialect, table: str, row: str, split: str, keys: list[str]) -> str:
     """Distinct keys (an entity, a pair, or whole records) on both sides, and their share of the test's."""
     k = ", ".join(f"t.{c}" for c in keys)

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.dialect import ANSI, SPARK, Dialect
 from ..operators import audits as a
 from ..operators import evaluation as e
+from ..operators import features as f
 from ..operators import splits as s
+from ..operators import stability as t
 
 ORDERS, LINES = "orders", "lineitem"
 RICH = "(select *, case when o_totalprice > 150000 then 1 else 0 end as label, case when o_orderkey % 10 < 7 then 'Train' when o_orderkey % 10 < 9 then 'holdout' else 'other' end as split from orders)"
@@ -27,6 +29,7 @@ def _lines(render) -> Callable[[Dialect], str]:
 
 _RUNS = "select o_orderkey % 3 as run, o_orderpriority as grp, o_custkey % 40 as candidate, max(o_totalprice) as score from orders group by o_orderkey % 3, o_orderpriority, o_custkey % 40"
 _RECORDS = "select o_orderpriority as scenario, o_orderstatus as representation, concat('m', cast(o_custkey % 3 as varchar(9))) as model, o_orderkey % 2 = 0 as permuted, case when o_orderkey % 11 = 0 then null else o_totalprice end as metric from orders"
+_SEEDED = "select scenario, representation, model, seed, max(metric) as metric from (select o_orderpriority as scenario, o_orderstatus as representation, concat('m', cast(o_custkey % 3 as varchar(9))) as model, o_orderkey % 4 as seed, cast(o_totalprice as double) as metric from orders) z group by scenario, representation, model, seed"
 _PRED = lambda d: e.entity_means(d, "ln", "row_id", s.random_rows(d, "ln", "row_id", 11), "l_extendedprice", "l_partkey", "l_suppkey")
 _FACTS = """select o_orderpriority as scenario, o_orderpriority like '1%' as is_random, avg(o_totalprice) / 300000 as median, 0.1 as null_median, 0.05 as p_value, stddev_samp(o_totalprice) / 1000000 as sd, 0.7 as random_median, count(distinct o_orderstatus) - 3 as n_overlap, count(*) as min_class, 10 as floor from orders group by o_orderpriority"""
 
@@ -74,6 +77,13 @@ PLANS: dict[str, Callable[[Dialect], str]] = {
     "w02_rank_spread": lambda d: e.rank_spread(d, _RUNS),
     "w03_o04_top_k": lambda d: e.top_k(d, _RUNS, 5),
     "t01_ranking_stability": lambda d: e.ranking_stability(d, _RUNS, 5),
+    "a21_best_model": lambda d: t.best_model(d, _RECORDS, lower=False),
+    "a22_t02_partition_variation": lambda d: t.partition_variation(d, _SEEDED),
+    "a23_t03_axes": lambda d: t.axes(d, _SEEDED),
+    "a24_t04_representation_range": lambda d: t.representation_range(d, _SEEDED),
+    "m15_group_ranking": lambda d: e.group_ranking(d, "select o_custkey % 50 as grp, o_totalprice as y, o_custkey % 7 as p from orders", 10),
+    "f02_composition": lambda d: f.composition(d, "part", "p_partkey", "p_name"),
+    "p03_development_rows": lambda d: s.development_rows(d, RICH + " t0", "o_orderkey", ["split", "o_orderstatus"]),
     "c01_verdicts": lambda d: e.verdict(d, _FACTS, lower=False, supported=0.5, limited=0.2, dispersion=0.15, min_delta=0.05, max_p=0.1),
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")

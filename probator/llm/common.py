@@ -156,13 +156,39 @@ def batched(docs: DataFrame) -> DataFrame:
     return docs
 
 
+#: Bits of a row's number that count rows within its file; those above count files.
+FILE_ROWS = 40
+
+
+def stored_files(docs: DataFrame) -> list[str] | None:
+    """The Parquet files that docs reads, by name, if each of its rows is one row of theirs; otherwise None."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    if plan.getClass().getSimpleName() != "LogicalRelation" or plan.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return None
+    if plan.relation().fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return None
+    files = sorted(plan.relation().location().inputFiles())
+    return files if len(set(files)) == len(files) else None  # a file that is read twice
+
+
 def numbered(docs: DataFrame, *columns: str, **renamed: str) -> DataFrame:
     """The named columns and ``_row``, a number of the row. Rows with the same id, or none, stay apart.
 
-    ``docs`` must be a table that Spark reads again in the same splits (files, or a checkpoint).
+    The number is made of the row's file and its place there, so that it is the same in every query, however Spark splits the
+    files. Whatever is not just a read of Parquet files is written first, with its numbers.
     """
     picked = [F.col(c) for c in columns] + [F.col(v).alias(k) for k, v in renamed.items()]
-    return docs.select(*picked, F.monotonically_increasing_id().alias("_row"))
+    files = stored_files(docs)
+    if files is None:
+        return written(docs.select(*picked, F.monotonically_increasing_id().alias("_row")), "numbered")
+    # An empty authority is written as :/// or as :/.
+    order = docs.sparkSession.createDataFrame(pa.table({"_file": pa.array([f.replace(":///", ":/") for f in files], pa.string()), "_place": pa.array(range(len(files)), pa.int64())}))
+    at = docs.metadataColumn("_metadata")
+    rows = docs.select(*picked, F.replace(at["file_path"], F.lit(":///"), F.lit(":/")).alias("_path"), at["row_index"].alias("_index")).join(F.broadcast(order), F.col("_path") == F.col("_file"), "left")  # one row a file
+    place = F.coalesce("_place", F.raise_error(F.concat(F.lit("not a listed file: "), "_path")).cast("long"))
+    return rows.select(*columns, *renamed, (F.shiftleft(place, FILE_ROWS) + F.col("_index")).alias("_row"))
 
 
 def shared_dir(spark: SparkSession, name: str = "work") -> str:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from probator.llm import anchors, components, ctw, decontaminate, lz_dedup, mixing, ngram_join, pii, quality, queries, suffix_dedup, token_counts, urls
+from probator.llm import anchors, common, components, ctw, decontaminate, lz_dedup, mixing, ngram_join, pii, quality, queries, suffix_dedup, token_counts, urls
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, segment int, spans int, kind string"
@@ -111,6 +111,38 @@ def test_similar_documents_match_brute_force(spark, tmp_path, monkeypatch, costl
     assert {r.doc_id: r.n_shingles for r in got} == {i: len(s) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("name", ["score", "bytes", "words", "similar", "mix"])
+def test_row_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path, monkeypatch, name):
+    """Between two writes of an operator the planner deals out the files otherwise, as it does when executors come or go."""
+    words = texts(np.random.default_rng(11), 40, 400, 40)
+    docs = frame(spark, [(i % 50, words[i % 40] + " z" * (i > 60), "ab"[i % 2]) for i in range(80)], tmp_path)
+    flat = lambda rows: sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    want, write, n = flat(OPERATORS[name](docs).collect()), common.passing, [0]
+
+    def passing(df, *more):
+        out = write(df, *more)
+        n[0] += 1
+        spark.conf.set("spark.sql.files.openCostInBytes", ("0", "4m")[n[0] % 2])
+        return out
+
+    monkeypatch.setattr(common, "passing", passing)
+    try:
+        for first in (0, 1):
+            n[0] = first
+            spark.conf.set("spark.sql.files.openCostInBytes", ("0", "4m")[first])
+            assert flat(OPERATORS[name](docs).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_row_numbers_of_tables_that_are_no_files(spark, tmp_path):
+    docs = frame(spark, [(i, "t", "a") for i in range(9)], tmp_path / "a b%")
+    assert common.stored_files(docs) and common.numbered(docs, "doc_id").select("_row").distinct().count() == 9
+    for other in (docs.union(docs), docs.crossJoin(spark.range(2)), spark.read.parquet(*[str(tmp_path / "a b%" / "docs.parquet")] * 2)):
+        rows = common.numbered(other, "doc_id")
+        assert rows.count() == rows.select("_row").distinct().count() == 18
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (3, 3), (7, 20), (20, 7)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -16,9 +16,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, with their texts as they are."""
-    step = quality.rate_documents(docs.select(F.struct(*COLUMNS).alias("d"), F.col("text")), id_col="d")
-    return step.where("kept").select("d.*")
+    """Documents that the rules keep, without the lines that fail; a text that has none stays as it is."""
+    step = quality.rate_documents(docs.select(F.struct(*COLUMNS).alias("d"), F.col("text")), id_col="d").where("kept")
+    text = F.when(F.col("n_bad_lines") == 0, F.col("d.text")).otherwise(quality.without_failing_lines(F.col("d.text")))
+    return step.select("d.*", text.alias("_text")).withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)}).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

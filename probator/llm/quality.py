@@ -81,6 +81,11 @@ def line_fails(line: Column) -> Column:
     return punctuation | F.rlike(line, F.lit(NAVIGATION)) | F.rlike(line, F.lit(BOILERPLATE))
 
 
+def without_failing_lines(text: Column) -> Column:
+    """The text without the lines that break a rule; blank lines stay where they are."""
+    return F.array_join(F.filter(lines(text), lambda s: ~(F.rlike(s, F.lit(r"[^\x20\x09-\x0D]")) & line_fails(s))), "\n")
+
+
 def rate_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_loss: float = MAX_LOSS) -> DataFrame:
     """A row for each document: id, the base counts, base_failed, n_lines, n_bad_lines, n_lost_words, clean_text, kept.
 

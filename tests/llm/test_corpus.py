@@ -269,3 +269,12 @@ def test_pipeline_keeps_columns_and_drops_leaks(spark):
     assert rows and max(Counter((r.doc_id, r["copy"]) for r in rows).values()) == 1
     leaks = {r.doc_id for r in queries.op9_decontamination(spark, DATA).where("contaminated").collect()}
     assert not leaks & {r.doc_id for r in rows}
+
+
+def test_pipeline_takes_failing_lines_out(spark, tmp_path):
+    prose = " ".join(f"word{i}" for i in range(70)) + "."
+    clean = prose + "\n\n \nAnd a last line follows here.\n"
+    rows = [(1, f"Home | News | Contact\n{prose}\n\nAll rights reserved by the owner of it.\n", "a"), (2, clean, "a"), (3, "Home", "a")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, frame(spark, rows, tmp_path), DATA).collect()}
+    want = {1: f"{prose}\n\n", 2: clean}
+    assert got == {i: (t, len(t)) for i, t in want.items()}

@@ -112,7 +112,6 @@ _CLASS = {**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdefghijklmnopq
 def word_shape(word: str) -> str:
     """Digits as d, letters as a, other characters as they are; runs once, except that runs of digits keep their length up to 6 (then +)."""
     out, i = [], 0
-    word = word[:64]
     while i < len(word):
         c = _CLASS.get(word[i], word[i] if word[i] < "\x80" else "u")
         j = i

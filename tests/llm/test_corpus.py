@@ -278,3 +278,8 @@ def test_pipeline_takes_failing_lines_out(spark, tmp_path):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_rules(spark, frame(spark, rows, tmp_path), DATA).collect()}
     want = {1: f"{prose}\n\n", 2: clean}
     assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
+def test_word_shape_reads_the_whole_word():
+    assert pii.word_shape("x" * 70 + "@12.34") == "a@d2.d2"
+    assert pii.word_shape("-a" * 40 + "9") == "-a" * 40 + "d1"

@@ -4,8 +4,13 @@ A document's tokens are the distinct hashes of its N-word shingles, in the order
 at least t share at least l of the first |set| - ceil(t |set|) + l tokens of each, for every l: the longer the prefix, the
 more matches are due.  Tokens in many sets cost many candidates, so each document's prefix is lengthened until
 fewer than l of its tokens are such costly ones: among l shared tokens at least one is then cheap, and
-looking up the cheap ones finds every partner.  Documents whose prefix cannot be lengthened enough
-look up their costly tokens as well.
+looking up the cheap ones finds every partner.  Further cheap tokens lengthen the prefix again, up to MATCHES of them are then
+due from a pair, and a pair that shares fewer is not verified.
+
+Long sets post a share of their tokens only.  Those whose prefix cannot be lengthened enough within it, and
+the documents that share a costly token with them, form a second round in which whole sets are posted: there a token
+that no other document of the round has cannot be shared, which rules out most of them, and a set made
+almost wholly of costly tokens takes its rarest ones.
 
 Tokens that no other cluster holds cannot be shared: they shorten the prefix, since the same number of matches is due from
 fewer tokens, and with the places of a shared token they bound how much two sets can have in common.
@@ -36,6 +41,8 @@ WORDS = 5
 PERCENT = 75
 #: A token in more clusters than this is costly.
 COSTLY = 4
+#: Shared tokens that are due from a pair, where both prefixes have as many cheap ones to spare.
+MATCHES = 3
 #: How far a prefix may grow: over the whole set up to FULL tokens, else over the hashes below LOW, which are REACH of all.
 FULL, REACH = 256, 0.35
 LOW = np.uint64(int(REACH * 2**64))
@@ -45,6 +52,8 @@ PASSES = 2
 BITS = [f"bits{k}" for k in range(8)]
 #: Documents of one block when candidates are verified.
 FAMILY = 64
+#: Parts of the documents of a family, when they meet its number of blocks.
+SALT = 16
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int):
@@ -164,48 +173,91 @@ def _linked(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, blocks: Data
     return links
 
 
+def _whole_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(rep, size, pos, token): all tokens of each wanted document."""
+
+    def work(batches):
+        for batch in batches:
+            for at, buf, offsets in C.text_slices(batch.column(1)):
+                hashes, bounds = shingle_sets(buf, offsets, words)
+                tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(tokens)), pa.array(np.diff(bounds), pa.int64()), tokens], ["rep", "size", "tokens"])
+
+    own = rows.select("_row", "text").join(wanted.select(F.col("rep").alias("_row")), "_row")
+    return own.mapInArrow(work, "rep long, size long, tokens array<long>").select("rep", "size", F.posexplode("tokens").alias("pos", "token"))
+
+
+def _postings(posted: DataFrame, name: str):
+    """(rep, size, pos, token, pivot) of the tokens that several documents have, pivot being the least of these; and a function that deletes it.
+
+    In passes over a share of the tokens each, so that the postings are never all in shuffle files at once.
+    """
+    parts = []
+    for k in range(PASSES):
+        some = posted.where(F.pmod("token", F.lit(PASSES)) == k)
+        tokens, drop_tokens = C.passing(some.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("token", "pivot"), f"{name}-tokens")
+        parts.append(C.passing(some.join(tokens, "token"), f"{name}-postings"))
+        drop_tokens()
+    return reduce(DataFrame.unionByName, (part for part, _ in parts)), lambda: [drop() for _, drop in parts]
+
+
+def _priced(shared: DataFrame, cluster: DataFrame, name: str):
+    """The postings with cluster, clusters (that have the token) and costly, without tokens that one cluster only has; and a function that deletes them."""
+    known = shared.select("rep", "size", "pos", "token").join(cluster, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
+    kinds = known.groupBy("token", "cluster").agg(F.count("*").alias("n"))
+    wide = kinds.groupBy("token").agg(F.count("*").alias("clusters")).where("clusters > 1")
+    return C.passing(known.join(wide.withColumn("costly", F.col("clusters") > COSTLY), "token"), name)
+
+
 def _active(known: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """(rep, size, most, token, cluster, costly, place, stuck, fills, near): what each document looks up.
+    """(rep, size, most, token, cluster, costly, place, stuck, near, due): what each document looks up.
 
     ``most`` is how many of its tokens another cluster may hold, ``place`` how many of these stand before the token when
-    cheap ones come first. The prefix in that order is what l matches leave of the longer one: l - 1 costly tokens less.
+    cheap ones come first, in the order of the hash, and costly ones follow by rising cost. ``due`` is how many of the tokens that it looks
+    up a partner must look up as well. prefixes: rep, posted, counted.
     """
     whole = Window.partitionBy("rep")
     sofar = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     dear = F.col("costly").cast("long")
     known = known.join(prefixes, "rep")
     known = known.withColumns({"alone": F.col("counted") - F.sum((F.col("pos") < F.col("counted")).cast("long")).over(whole), "rank": F.count("*").over(sofar) - 1, "before": F.sum(dear).over(sofar) - dear, "dear": F.sum(dear).over(whole)})
+    known = known.withColumn("turn", F.row_number().over(Window.partitionBy("rep", "costly").orderBy("clusters", "pos")).cast("long") - 1)
     known = known.withColumn("most", F.col("size") - F.col("alone"))
     known = known.withColumns({"first": F.col("most") - F.expr(f"(size * {percent} + 99) div 100") + 1, "rank": F.when(F.col("pos") < F.col("counted"), F.col("rank")).otherwise(F.col("pos") - F.col("alone")), "cheap": F.col("posted") - F.col("alone") - F.col("dear")})
     few, ends = F.col("cheap") < F.col("first"), F.col("posted") == F.col("size")
-    # A set that is all posted takes all its cheap tokens and the first costly ones; a longer one that is stuck keeps its 1-match prefix.
+    # A set that is all posted takes all its cheap tokens and its rarest costly ones; a longer one that is stuck goes to the second round.
     known = known.withColumns({"short": few & ends, "stuck": few & ~ends, "near": F.col("rank") < F.col("first")})
-    known = known.withColumns({"fills": F.col("short") & F.col("costly") & (F.col("before") < F.col("first") - F.col("cheap")), "place": F.when(F.col("costly"), F.col("cheap") + F.col("before")).otherwise(F.col("rank") - F.col("before"))})
-    looks = F.when(F.col("costly"), F.col("fills") | (F.col("near") & (100 * F.col("size") > FULL * percent))).when(F.col("stuck"), F.col("near")).otherwise(F.col("place") < F.col("first"))
-    return known.where((F.col("first") > 0) & looks).select("rep", "size", "most", "token", "cluster", "costly", "place", "stuck", "fills", "near")
+    known = known.withColumns({
+        "fills": F.col("short") & F.col("costly") & (F.col("turn") < F.col("first") - F.col("cheap")),
+        "place": F.when(F.col("costly"), F.col("cheap") + F.col("turn")).otherwise(F.col("rank") - F.col("before")),
+        "due": F.when(few, F.lit(1)).otherwise(F.least(F.lit(MATCHES), F.col("cheap") - F.col("first") + 1)),
+    })
+    looks = F.when(F.col("costly"), F.col("fills") | (F.col("near") & (100 * F.col("size") > FULL * percent))).when(F.col("stuck"), F.col("near")).otherwise(F.col("place") < F.col("first") + F.col("due") - 1)
+    return known.where((F.col("first") > 0) & looks).select("rep", "size", "most", "token", "cluster", "costly", "place", "stuck", "fills", "near", "due")
 
 
 def _candidates(known: DataFrame, percent: int) -> DataFrame:
-    """(x, y): documents of different clusters that share a token they look up and can have enough in common."""
+    """(a, b): documents of different clusters that share as many of the tokens they look up as is due, and can have enough in common.
 
-    def side(rows: DataFrame, cluster: str, k: str) -> DataFrame:
-        return rows.select("token", F.col("cluster").alias(cluster), F.col("rep").alias(k), F.col("size").alias(f"s{k}"), F.col("most").alias(f"m{k}"), F.col("place").alias(f"p{k}"), *(F.col(b).alias(f"{b}{k}") for b in BITS))
+    known: also ``asks``; one of the two must.
+    """
 
-    def enough(shared) -> object:
-        both = F.col("sx") + F.col("sy")
-        differ = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in BITS), F.lit(0))
-        return (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")) & ((100 + percent) * shared >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
+    def side(rows: DataFrame, cluster: str, k: str) -> DataFrame:
+        return rows.select("token", F.col("cluster").alias(cluster), F.col("rep").alias(k), F.col("size").alias(f"s{k}"), F.col("most").alias(f"m{k}"), F.col("place").alias(f"p{k}"), F.col("due").alias(f"d{k}"), F.col("asks").alias(f"asks{k}"), *(F.col(b).alias(f"{b}{k}") for b in BITS))
 
-    by_place = enough(F.least("px", "py") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py")))
+    both = F.col("sx") + F.col("sy")
+    differ = sum((F.bit_count(F.col(f"{b}x").bitwiseXOR(F.col(f"{b}y"))) for b in BITS), F.lit(0))
+    shared = F.least("px", "py") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py"))
+    enough = (F.col("asksx") | F.col("asksy")) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")) & ((100 + percent) * shared >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
     # Cheap tokens: pairs of clusters first, so that nothing within a cluster is paired.
-    cheap = known.where("not costly")
+    cheap, fills = known.where("not costly"), known.where("fills")
     held = cheap.groupBy("token", "cluster").agg(F.count("*").alias("n"))
     meet = held.select("token", F.col("cluster").alias("ca")).join(held.select("token", F.col("cluster").alias("cb")), "token").where("ca < cb")
-    pairs = meet.join(side(cheap, "ca", "x"), ["token", "ca"]).join(side(cheap, "cb", "y"), ["token", "cb"]).where(by_place).select("x", "y")
-    # Costly tokens: short documents among each other, and stuck ones with whoever has the token in its 1-match prefix.
-    dear, fills = known.where("costly"), known.where("fills")
-    pairs = pairs.unionByName(side(fills, "ca", "x").join(side(fills, "cb", "y"), "token").where((F.col("ca") < F.col("cb")) & by_place).select("x", "y"))
-    return pairs.unionByName(side(dear.where("stuck"), "ca", "x").join(side(dear.where("near"), "cb", "y"), "token").where((F.col("ca") != F.col("cb")) & enough(F.least("mx", "my"))).select("x", "y"))
+    pairs = meet.join(side(cheap, "ca", "x"), ["token", "ca"]).join(side(cheap, "cb", "y"), ["token", "cb"]).where(enough)
+    # Costly tokens: only of sets that have too few cheap ones.
+    pairs = pairs.select("x", "y", "dx", "dy").unionByName(side(fills, "ca", "x").join(side(fills, "cb", "y"), "token").where((F.col("ca") < F.col("cb")) & enough).select("x", "y", "dx", "dy"))
+    met = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("dx", "dy")).alias("due"))
+    return met.where("n >= due").select("a", "b")
 
 
 def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -218,20 +270,13 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     sets = C.written(_prefixes(rows, words, percent), "ngram-prefixes")
     classes = sets.where("size > 0").groupBy("same", "size").agg(F.min("_row").alias("rep"))
     reps = C.written(classes, "ngram-classes")
-    # Postings of the representatives' prefixes, without tokens that only one of them has.
     posted = sets.select(F.col("_row").alias("rep"), "size", "tokens").join(reps.select("rep"), "rep", "left_semi").select("rep", "size", F.posexplode("tokens").alias("pos", "token"))
-    # In passes over a share of the tokens each, so that the postings are never all in shuffle files at once.
-    parts = []
-    for k in range(PASSES):
-        some = posted.where(F.pmod("token", F.lit(PASSES)) == k)
-        tokens, drop_tokens = C.passing(some.groupBy("token").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).where("n > 1").select("token", "pivot"), "ngram-tokens")
-        parts.append(C.passing(some.join(tokens, "token"), "ngram-postings"))
-        drop_tokens()
-    shared = reduce(DataFrame.unionByName, (part for part, _ in parts))
+    shared, drop_shared = _postings(posted, "ngram")
     sketches = sets.select(F.col("_row").alias("rep"), F.col("sketch").alias("data"))
     # A document's family is the least holder of most of its tokens; families are cut in blocks by hash.
     family = shared.groupBy("rep", "pivot").agg(F.count("*").alias("n")).groupBy("rep").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("family"))
-    blocks = family.join(family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).alias("parts")), "family").select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), "parts")).alias("block"))
+    crowds = family.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).alias("parts")).where("parts > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    blocks = family.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit("salt")), F.lit(SALT)).cast("int")).join(crowds, ["family", "salt"], "left").select("rep", F.xxhash64("family", F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1)))).alias("block"))
     blocks = C.written(blocks, "ngram-blocks")
     first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
     # First round: stars around the least holder of a token, and around the holder with the largest share of tokens that
@@ -243,18 +288,25 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     stars = stars.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b")).distinct()
     links = _linked(rows, stars, sketches, blocks, words, percent, "ngram-stars")
     cluster = C.written(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "ngram-clusters")
-    known = shared.select("rep", "size", "pos", "token").join(cluster, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
-    kinds = known.groupBy("token", "cluster").agg(F.count("*").alias("n"))
-    wide = kinds.groupBy("token").agg(F.count("*").alias("clusters")).where("clusters > 1")
-    known, drop_wide = C.passing(known.join(wide.select("token", (F.col("clusters") > COSTLY).alias("costly")), "token"), "ngram-wide")
-    for _, drop in parts:
-        drop()
-    known, drop_known = C.passing(_active(known, sets.select(F.col("_row").alias("rep"), "posted", "counted"), percent).join(sets.select(F.col("_row").alias("rep"), *BITS), "rep"), "ngram-active")
+    bits = sets.select(F.col("_row").alias("rep"), *BITS)
+    wide, drop_wide = _priced(shared, cluster, "ngram-wide")
+    drop_shared()
+    known, drop_known = C.passing(_active(wide, sets.select(F.col("_row").alias("rep"), "posted", "counted"), percent).join(bits, "rep").withColumn("asks", F.lit(True)), "ngram-active")
     drop_wide()
-    pairs = _candidates(known, percent)
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = links.unionByName(_linked(rows, pairs, sketches, blocks, words, percent, "ngram-links"))
+    pairs, drop_pairs = C.passing(_candidates(known, percent), "ngram-met")
+    # Second round: a stuck document and a partner both have one of their costly tokens in their 1-match prefixes.
+    dear = known.where("costly and near")
+    again = dear.groupBy("token").agg(F.max("stuck").alias("any"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("any and lo <> hi").select("token")
+    again, drop_again = C.passing(dear.join(again, "token", "left_semi").groupBy("rep").agg(F.max("stuck").alias("asks")), "ngram-again")
     drop_known()
+    shared, drop_shared = _postings(_whole_sets(rows, again, words), "ngram-whole")
+    wide, drop_wide = _priced(shared, cluster, "ngram-whole-wide")
+    drop_shared()
+    known, drop_known = C.passing(_active(wide, wide.select("rep", F.col("size").alias("posted"), F.col("size").alias("counted")).distinct(), percent).join(bits, "rep").join(again, "rep"), "ngram-whole-active")
+    drop_wide()
+    links = links.unionByName(_linked(rows, pairs.unionByName(_candidates(known, percent)).distinct(), sketches, blocks, words, percent, "ngram-links"))
+    for drop in (drop_pairs, drop_again, drop_known):
+        drop()
     found = connected_components(links)
     # Back to all documents: their class, its component, and the least id in it.
     members = sets.select("_id", "_row", "size", "same").join(reps, ["same", "size"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")

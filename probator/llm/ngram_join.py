@@ -30,7 +30,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -52,8 +52,10 @@ PASSES = 2
 BITS = [f"bits{k}" for k in range(8)]
 #: Documents of one block when candidates are verified.
 FAMILY = 64
-#: Parts of the documents of a family, when they meet its number of blocks.
-SALT = 16
+#: Parts of the documents of a family or a component, when they meet what holds for all of it, and the members from which that is done.
+SALT, CROWD = 16, 1024
+#: Tokens that are judged together, in whole documents.
+HELD = 1 << 17
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int):
@@ -67,8 +69,9 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, words: int):
     at = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + first[owner]
     to = np.minimum(at + words, first[owner + 1])
     hashes = C.span_hash(h, at, to)
-    by = np.lexsort((hashes, owner)) if len(hashes) else np.zeros(0, np.int64)
-    hashes, owner = hashes[by], owner[by]
+    edges = np.concatenate(([0], np.cumsum(count)))
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        hashes[a:b].sort()
     new = np.ones(len(hashes), bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
     hashes, owner = hashes[new], owner[new]
@@ -209,31 +212,71 @@ def _priced(shared: DataFrame, cluster: DataFrame, name: str):
     return C.passing(known.join(wide.withColumn("costly", F.col("clusters") > COSTLY), "token"), name)
 
 
-def _active(known: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """(rep, size, most, token, cluster, costly, place, stuck, near, due): what each document looks up.
+def _active(known: DataFrame, prefixes: DataFrame | None, percent: int) -> DataFrame:
+    """(rep, size, most, token, cluster, costly, place, stuck, fills, near, due): what each document looks up.
 
     ``most`` is how many of its tokens another cluster may hold, ``place`` how many of these stand before the token when
     cheap ones come first, in the order of the hash, and costly ones follow by rising cost. ``due`` is how many of the tokens that it looks
-    up a partner must look up as well. prefixes: rep, posted, counted.
+    up a partner must look up as well. prefixes: rep, posted, counted; without them whole sets are posted.
+
+    A document's tokens come in order, after a row with its prefix; batches are closed where a document ends.
     """
-    whole = Window.partitionBy("rep")
-    sofar = whole.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dear = F.col("costly").cast("long")
-    known = known.join(prefixes, "rep")
-    known = known.withColumns({"alone": F.col("counted") - F.sum((F.col("pos") < F.col("counted")).cast("long")).over(whole), "rank": F.count("*").over(sofar) - 1, "before": F.sum(dear).over(sofar) - dear, "dear": F.sum(dear).over(whole)})
-    known = known.withColumn("turn", F.row_number().over(Window.partitionBy("rep", "costly").orderBy("clusters", "pos")).cast("long") - 1)
-    known = known.withColumn("most", F.col("size") - F.col("alone"))
-    known = known.withColumns({"first": F.col("most") - F.expr(f"(size * {percent} + 99) div 100") + 1, "rank": F.when(F.col("pos") < F.col("counted"), F.col("rank")).otherwise(F.col("pos") - F.col("alone")), "cheap": F.col("posted") - F.col("alone") - F.col("dear")})
-    few, ends = F.col("cheap") < F.col("first"), F.col("posted") == F.col("size")
-    # A set that is all posted takes all its cheap tokens and its rarest costly ones; a longer one that is stuck goes to the second round.
-    known = known.withColumns({"short": few & ends, "stuck": few & ~ends, "near": F.col("rank") < F.col("first")})
-    known = known.withColumns({
-        "fills": F.col("short") & F.col("costly") & (F.col("turn") < F.col("first") - F.col("cheap")),
-        "place": F.when(F.col("costly"), F.col("cheap") + F.col("turn")).otherwise(F.col("rank") - F.col("before")),
-        "due": F.when(few, F.lit(1)).otherwise(F.least(F.lit(MATCHES), F.col("cheap") - F.col("first") + 1)),
-    })
-    looks = F.when(F.col("costly"), F.col("fills") | (F.col("near") & (100 * F.col("size") > FULL * percent))).when(F.col("stuck"), F.col("near")).otherwise(F.col("place") < F.col("first") + F.col("due") - 1)
-    return known.where((F.col("first") > 0) & looks).select("rep", "size", "most", "token", "cluster", "costly", "place", "stuck", "fills", "near", "due")
+    names = ["rep", "size", "most", "token", "cluster", "costly", "place", "stuck", "fills", "near", "due"]
+    rows = known.select("rep", "pos", "size", "token", "cluster", "clusters")
+    whole = prefixes is None
+    if not whole:
+        rows = rows.unionByName(prefixes.select("rep", F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("size"), F.col("posted").alias("token"), F.col("counted").alias("cluster"), F.lit(0).cast("long").alias("clusters")))
+    dealt = rows.repartition(C.partitions(known.sparkSession), "rep").sortWithinPartitions("rep", "pos")
+
+    def judged(rep, pos, size, token, cluster, clusters):
+        begins = np.concatenate(([True], rep[1:] != rep[:-1]))
+        group = np.cumsum(begins) - 1
+        n = group[-1] + 1
+        if whole:
+            posted = counted = size[begins]
+        else:
+            posted, counted = token[begins], cluster[begins]
+            body = pos >= 0
+            rep, pos, size, token, cluster, clusters, group = (x[body] for x in (rep, pos, size, token, cluster, clusters, group))
+        costly = clusters > COSTLY
+        inside = pos < counted[group]
+        alone = counted - np.bincount(group, inside, n).astype(np.int64)
+        dear = np.bincount(group, costly, n).astype(np.int64)
+        start = np.searchsorted(group, np.arange(n))
+        seen = np.concatenate(([0], np.cumsum(costly)))
+        before = seen[:-1] - seen[start[group]]
+        turn = np.zeros(len(group), np.int64)
+        own = np.flatnonzero(costly)
+        by = own[np.lexsort((pos[own], clusters[own], group[own]))]
+        turn[by] = np.arange(len(by)) - np.searchsorted(group[by], group[by])
+        most = size - alone[group]
+        first = most + (-size * percent) // 100 + 1
+        rank = np.where(inside, np.arange(len(group)) - start[group], pos - alone[group])
+        cheap = (posted - alone - dear)[group]
+        few, ends = cheap < first, posted[group] == size
+        # A set that is all posted takes all its cheap tokens and its rarest costly ones; a longer one that is stuck goes to the second round.
+        stuck, near = few & ~ends, rank < first
+        fills = few & ends & costly & (turn < first - cheap)
+        place = np.where(costly, cheap + turn, rank - before)
+        due = np.where(few, 1, np.minimum(MATCHES, cheap - first + 1))
+        looks = np.where(costly, fills | (near & (100 * size > FULL * percent)), np.where(stuck, near, place < first + due - 1))
+        keep = np.flatnonzero((first > 0) & looks)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rep, size, most, token, cluster, costly, place, stuck, fills, near, due)], names)
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(k).to_numpy() for k in range(6)]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            if len(held[0]) < HELD or held[0][0] == held[0][-1]:
+                continue
+            cut = np.searchsorted(held[0], held[0][-1])
+            yield judged(*(x[:cut] for x in held))
+            held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield judged(*held)
+
+    return dealt.mapInArrow(work, "rep long, size long, most long, token long, cluster long, costly boolean, place long, stuck boolean, fills boolean, near boolean, due long")
 
 
 def _candidates(known: DataFrame, percent: int) -> DataFrame:
@@ -302,7 +345,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     shared, drop_shared = _postings(_whole_sets(rows, again, words), "ngram-whole")
     wide, drop_wide = _priced(shared, cluster, "ngram-whole-wide")
     drop_shared()
-    known, drop_known = C.passing(_active(wide, wide.select("rep", F.col("size").alias("posted"), F.col("size").alias("counted")).distinct(), percent).join(bits, "rep").join(again, "rep"), "ngram-whole-active")
+    known, drop_known = C.passing(_active(wide, None, percent).join(bits, "rep").join(again, "rep"), "ngram-whole-active")
     drop_wide()
     links = links.unionByName(_linked(rows, pairs.unionByName(_candidates(known, percent)).distinct(), sketches, blocks, words, percent, "ngram-links"))
     for drop in (drop_pairs, drop_again, drop_known):
@@ -312,5 +355,8 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     members = sets.select("_id", "_row", "size", "same").join(reps, ["same", "size"], "left").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     members = members.select("_id", "_row", "size", F.coalesce("component", "rep", F.when(F.col("size") == 0, -1 - F.col("_row"))).alias("_c"))
     members = C.written(members, "ngram-members")
-    least = members.groupBy("_c").agg(F.min(F.struct("_id", "_row")).alias("_least"))
-    return members.join(least, "_c").select(F.col("_id").alias(id_col), "_row", F.col("size").alias("n_shingles"), F.col("_least._id").alias("component_id"), (F.col("_row") == F.col("_least._row")).alias("is_first"))
+    least = members.groupBy("_c").agg(F.min(F.struct("_id", "_row")).alias("_least"), F.count("*").alias("_n"))
+    crowds = least.where(F.col("_n") > CROWD).select("_c", "_least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    met = members.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALT)).cast("int")).join(crowds, ["_c", "_salt"], "left").drop("_salt")
+    rest = met.where("_least is null").drop("_least").join(least.where(F.col("_n") <= CROWD).select("_c", "_least"), "_c")
+    return met.where("_least is not null").unionByName(rest).select(F.col("_id").alias(id_col), "_row", F.col("size").alias("n_shingles"), F.col("_least._id").alias("component_id"), (F.col("_row") == F.col("_least._row")).alias("is_first"))

@@ -213,7 +213,7 @@ def _priced(shared: DataFrame, cluster: DataFrame, name: str):
 
 
 def _active(known: DataFrame, prefixes: DataFrame | None, percent: int) -> DataFrame:
-    """(rep, size, most, token, cluster, costly, place, stuck, fills, near, due): what each document looks up.
+    """(rep, size, most, token, cluster, clusters, costly, place, stuck, fills, near, due): what each document looks up.
 
     ``most`` is how many of its tokens another cluster may hold, ``place`` how many of these stand before the token when
     cheap ones come first, in the order of the hash, and costly ones follow by rising cost. ``due`` is how many of the tokens that it looks
@@ -221,7 +221,7 @@ def _active(known: DataFrame, prefixes: DataFrame | None, percent: int) -> DataF
 
     A document's tokens come in order, after a row with its prefix; batches are closed where a document ends.
     """
-    names = ["rep", "size", "most", "token", "cluster", "costly", "place", "stuck", "fills", "near", "due"]
+    names = ["rep", "size", "most", "token", "cluster", "clusters", "costly", "place", "stuck", "fills", "near", "due"]
     rows = known.select("rep", "pos", "size", "token", "cluster", "clusters")
     whole = prefixes is None
     if not whole:
@@ -261,7 +261,7 @@ def _active(known: DataFrame, prefixes: DataFrame | None, percent: int) -> DataF
         due = np.where(few, 1, np.minimum(MATCHES, cheap - first + 1))
         looks = np.where(costly, fills | (near & (100 * size > FULL * percent)), np.where(stuck, near, place < first + due - 1))
         keep = np.flatnonzero((first > 0) & looks)
-        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rep, size, most, token, cluster, costly, place, stuck, fills, near, due)], names)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (rep, size, most, token, cluster, clusters, costly, place, stuck, fills, near, due)], names)
 
     def work(batches):
         held = None
@@ -276,7 +276,19 @@ def _active(known: DataFrame, prefixes: DataFrame | None, percent: int) -> DataF
         if held is not None and len(held[0]):
             yield judged(*held)
 
-    return dealt.mapInArrow(work, "rep long, size long, most long, token long, cluster long, costly boolean, place long, stuck boolean, fills boolean, near boolean, due long")
+    return dealt.mapInArrow(work, "rep long, size long, most long, token long, cluster long, clusters long, costly boolean, place long, stuck boolean, fills boolean, near boolean, due long")
+
+
+def _leading(known: DataFrame) -> DataFrame:
+    """The rows of tokens that stand for all tokens which the same documents look up: the first in the order of cost and hash.
+
+    A passage that many documents have is as many tokens as it has words, but one such set of documents, which is known by its size and the sum (modulo 2) of
+    its members' hashes. Who shares one of the tokens shares all, so a pair is met once for each passage.
+    """
+    order = F.struct("clusters", F.col("token").bitwiseXOR(F.lit(-(2**63))).alias("hash"), "token")
+    tokens = known.groupBy("token", "clusters").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    leads = tokens.groupBy("n", "who").agg(F.min(order).alias("lead")).select("lead.token")
+    return known.join(leads, "token", "left_semi")
 
 
 def _candidates(known: DataFrame, percent: int) -> DataFrame:
@@ -293,7 +305,7 @@ def _candidates(known: DataFrame, percent: int) -> DataFrame:
     shared = F.least("px", "py") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py"))
     enough = (F.col("asksx") | F.col("asksy")) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")) & ((100 + percent) * shared >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
     # Cheap tokens: pairs of clusters first, so that nothing within a cluster is paired.
-    cheap, fills = known.where("not costly"), known.where("fills")
+    cheap, fills = known.where("not costly"), _leading(known.where("fills"))
     held = cheap.groupBy("token", "cluster").agg(F.count("*").alias("n"))
     meet = held.select("token", F.col("cluster").alias("ca")).join(held.select("token", F.col("cluster").alias("cb")), "token").where("ca < cb")
     pairs = meet.join(side(cheap, "ca", "x"), ["token", "ca"]).join(side(cheap, "cb", "y"), ["token", "cb"]).where(enough)

@@ -28,8 +28,11 @@ from . import common as C
 
 #: Bytes of context. A gram has one byte more and must fit in 64 bits.
 DEPTH = 4
-#: Rows of the input that make a block (a power of two).
-BLOCK_BITS = 11
+#: Rows of a file, as a power of two, that make a block. Texts beyond 2 ** LONG_BITS bytes have blocks of their own, of half the rows for each doubling,
+#: so that a block has at most 2 ** (BLOCK_BITS + LONG_BITS + 1) bytes, or one text.
+BLOCK_BITS, LONG_BITS = 12, 14
+#: Parts of a block's counts after which they are added up.
+PARTS = 32
 GRAM, WORD = 0, 1
 HALF = math.log(0.5)
 
@@ -132,44 +135,58 @@ def _upper(rows) -> dict[int, tuple]:
     return out
 
 
-def _block_counts(docs: DataFrame, id_col: str, depth: int) -> DataFrame:
+def _blocks(rows: DataFrame) -> DataFrame:
+    """rows with chunk (2 ** BLOCK_BITS consecutive rows of a file) and block (the chunk's texts of about one size)."""
+    doublings = F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.octet_length("text"), F.lit(1)))).cast("int") - LONG_BITS)
+    doublings = F.least(F.coalesce(doublings, F.lit(0)), F.lit(BLOCK_BITS))
+    rows = rows.withColumn("chunk", F.shiftright("_row", BLOCK_BITS)).withColumn("_d", doublings)
+    return rows.withColumn("block", F.xxhash64("chunk", "_d", F.expr(f"shiftright(_row & {(1 << BLOCK_BITS) - 1}, {BLOCK_BITS} - _d)"))).drop("_d")
+
+
+def _block_counts(docs: DataFrame, depth: int) -> DataFrame:
     """(block, kind, key, n): the grams and words of each block and how often its training texts have them."""
 
+    def added(parts):
+        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return keys, np.bincount(back.reshape(-1), np.concatenate([c for _, c in parts]), len(keys))
+
     def count(batches):
-        now, kept = None, {GRAM: [], WORD: []}
+        now, kept = None, {}
 
         def flush():
-            for kind, parts in kept.items():
-                if parts:
-                    keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-                    n = np.bincount(back.reshape(-1), np.concatenate([c for _, c in parts])).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), now)), pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n)], ["block", "kind", "key", "n"])
-                parts.clear()
-
-        def add(kind, values, learn):
+            for (block, kind), parts in kept.items():
+                keys, n = added(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block)), pa.array(np.full(len(keys), kind, np.int8)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["block", "kind", "key", "n"])
+            kept.clear()
+
+        def add(block, kind, values, learn):
+            parts = kept.setdefault((block, kind), [])
             keys, back = np.unique(values, return_inverse=True)
-            kept[kind].append((keys, np.bincount(back.reshape(-1), learn, len(keys))))
+            parts.append((keys, np.bincount(back.reshape(-1), learn, len(keys))))
+            if len(parts) > PARTS:
+                parts[:] = [added(parts)]
 
         for batch in batches:
-            blocks = batch.column(0).to_numpy()
-            learns = batch.column(2).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
+            chunks, blocks, learns = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            cuts = [0, *(np.flatnonzero(np.diff(chunks)) + 1), len(chunks)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 if hi == lo:
                     continue
-                if now is not None and blocks[lo] != now:
+                if now is not None and chunks[lo] != now:
                     yield from flush()
-                now = blocks[lo]
-                for at, buf, offsets in C.text_slices(batch.column(1).slice(lo, hi - lo)):
-                    buf = C.lowered(buf)
-                    learn = learns[lo + at : lo + at + len(offsets) - 1].astype(float)
-                    add(GRAM, grams(buf, offsets, depth), np.repeat(learn, np.diff(offsets) + 1))
-                    start, end, first = C.word_spans(buf, offsets)
-                    add(WORD, C.word_hashes(buf, start, end), np.repeat(learn, np.diff(first)))
+                now = chunks[lo]
+                for block in np.unique(blocks[lo:hi]):
+                    own = lo + np.flatnonzero(blocks[lo:hi] == block)
+                    for at, buf, offsets in C.text_slices(batch.column(2).take(pa.array(own))):
+                        buf = C.lowered(buf)
+                        learn = learns[own[at : at + len(offsets) - 1]].astype(float)
+                        add(int(block), GRAM, grams(buf, offsets, depth), np.repeat(learn, np.diff(offsets) + 1))
+                        start, end, first = C.word_spans(buf, offsets)
+                        add(int(block), WORD, C.word_hashes(buf, start, end), np.repeat(learn, np.diff(first)))
         if now is not None:
             yield from flush()
 
-    return docs.select("block", "text", "learn").mapInArrow(count, "block long, kind tinyint, key long, n long")
+    return docs.select("chunk", "block", "text", "learn").mapInArrow(count, "block long, kind tinyint, key long, n long")
 
 
 def _gram_scores(counts: DataFrame, depth: int) -> DataFrame:
@@ -219,17 +236,18 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Texts with ``held_out`` (a column; default crc32(id as text) mod 7 is 2) are scored but not learned from. A-Z count as a-z.
     The text ends with an end mark, which the model codes as a byte and the base score as a token. A null or
-    empty text is its end alone. A null id counts as learned from. Repeated ids are scored one by one.
+    empty text is its end alone. A null id, or a null in ``held_out``, counts as learned from. Repeated ids are scored one by one.
     ``score`` does not depend on how rows are dealt, but for the last digits of sums of floats.
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth must be 2 to 7 bytes")
     spark = docs.sparkSession
     if held_out is None:
-        held_out = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(7)) == 2, F.lit(False))
+        held_out = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(7)) == 2
+    held_out = F.coalesce(held_out, F.lit(False))
     rows = C.numbered(C.batched(docs).select(F.col(id_col).alias("_id"), (~held_out).alias("learn"), F.col(text_col).alias("text")), "_id", "learn", "text")
-    rows = rows.withColumn("block", F.shiftright("_row", BLOCK_BITS))
-    counts = C.written(_block_counts(rows, "_id", depth), "ctw-counts")
+    rows = _blocks(rows)
+    counts = C.written(_block_counts(rows, depth), "ctw-counts")
     sums = C.written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ctw-sums")
     words = sums.where(F.col("kind") == WORD)
     # The end mark is a token of each training text.

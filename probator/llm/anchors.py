@@ -8,8 +8,10 @@ anchor make a segment: a text has one for every few dozen symbols.  Only segment
 * segments that occur whole in several places need no look at their symbols;
 * distinct segments that share an anchor are compared by the method of the operator (``compare``), each once,
   however many copies it has, in batches of whole anchor groups;
-* anchors with more than HOT distinct segments are split: their windows are dealt out by hash and counted,
-  so that no task ever holds such a group.
+* an anchor with more than HOT distinct segments gets a second anchor for each of its windows: the least of the window's other
+  ``k``-grams under another hash, which cuts the segments anew.  Equal windows still have equal anchors.  Groups that are
+  still too large get a third one, and so on; each level leaves a gram out of account, and a window with none left is its own
+  anchor, so this ends, and every window is compared by the same method in a group of a bounded size.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from . import common as C
 #: Distinct segments of an anchor that one task compares, and symbols that it takes together.
 HOT = 4000
 BATCH_SYMBOLS = 1 << 19
+NONE = np.uint64(2**64 - 1)
 
 
 def segments(values: np.ndarray, bounds: np.ndarray, k: int, width: int):
@@ -49,6 +52,24 @@ def segments(values: np.ndarray, bounds: np.ndarray, k: int, width: int):
     return owner[start], start - bounds[owner[start]], end - start, grams[anchor[start]], whole
 
 
+def finer(values: np.ndarray, n: int, k: int, width: int, used: np.ndarray, parent: int):
+    """(start, windows, anchor, hash) of the pieces into which the n windows of a segment fall by an anchor that is none of ``used``; and the gram that each took."""
+    h = C.prefix_hash(values)
+    at = np.arange(len(values) - k + 1)
+    grams = C.span_hash(h, at, at + k)
+    order = C.mix(grams + np.uint64(len(used)))
+    order[np.isin(grams, used)] = NONE
+    best = C.sliding_min(order, width - k + 1)[:n]
+    bare = order[best] == NONE
+    new = bare | np.concatenate(([True], (best[1:] != best[:-1]) | bare[:-1]))
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, n))
+    whole = C.span_hash(h, start, start + size - 1 + width)
+    gram = np.where(bare[start], whole, grams[best[start]])
+    place = np.where(bare[start], 0, best[start] - start)
+    return start, size, C.mix(gram ^ np.uint64(parent & (2**64 - 1))), C.mix(whole + place.astype(np.uint64)), gram
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
@@ -73,16 +94,17 @@ def repeats(rows: DataFrame, symbols: Callable, compare: Callable, *, k: int, wi
     compare(list of symbol arrays in order of their first place) gives for each segment a mask of its windows, or None.
     """
     cuts = C.written(cut(rows, symbols, k, width), f"{name}-cuts")
-    shared = cuts.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1").select("anchor")
-    found = C.written(cuts.join(shared, "anchor"), f"{name}-shared")
+    counts = C.written(cuts.groupBy("anchor").agg(F.count("*").alias("_n")).where("_n > 1"), f"{name}-anchors")
+    found = C.written(C.met_in_parts(cuts, counts, ["anchor"], "_n", "_row", "start"), f"{name}-shared")
     place = F.struct("_id", "_row", "start")
     kinds = C.written(found.groupBy("anchor", "segment").agg(F.count("*").alias("copies"), F.min(place).alias("first"), F.first("n").alias("n")), f"{name}-kinds")
     several = kinds.groupBy("anchor").agg(F.count("*").alias("_kinds")).where("_kinds > 1")
-    whole = found.join(kinds.where("copies > 1").select("anchor", "segment", "first"), ["anchor", "segment"])
+    whole = C.met_in_parts(found, kinds.where("copies > 1").select("anchor", "segment", "copies", "first"), ["anchor", "segment"], "copies", "_row", "start")
     if first_stays:
         whole = whole.where(~place.eqNullSafe(F.col("first")))
     whole = whole.select("_row", "start", "n", F.lit(None).cast("binary").alias("mask"))
-    ship = kinds.join(several, "anchor").select("anchor", "copies", F.col("first._id").alias("_id"), F.col("first._row").alias("_row"), F.col("first.start").alias("start"), "n", (F.col("_kinds") > HOT).alias("hot"))
+    ship = kinds.join(several, "anchor")
+    ship = ship.select("anchor", "copies", F.col("first._id").alias("_id"), F.col("first._row").alias("_row"), F.col("first.start").alias("start"), "n", (F.col("_kinds") > HOT).alias("hot"))
     wanted = ship.groupBy("_row").agg(F.collect_list(F.struct("anchor", "copies", "_id", "start", "n", "hot")).alias("wanted"))
 
     def fetch(batches):
@@ -125,26 +147,43 @@ def repeats(rows: DataFrame, symbols: Callable, compare: Callable, *, k: int, wi
         if held:
             yield flush()
 
-    close = shipped.where("not hot").repartition(C.partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "_id", "_row", "start")
-    partial = close.select("anchor", "copies", "_row", "start", "n", "data").mapInArrow(look, "_row long, start int, n int, mask binary")
+    columns = ["anchor", "copies", "_id", "_row", "start", "n", "data"]
+    close = shipped.where("not hot").select(*columns)
+    hot = shipped.where("hot").select(*columns, F.array("anchor").alias("used"))
 
-    def windows(batches):
+    def cut_again(batches):
         for batch in batches:
-            starts, ns = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            for i in range(len(batch)):
-                data = np.frombuffer(batch.column(5)[i].as_buffer(), kind)
-                h = C.prefix_hash(C.byte_values(data) if symbol_bytes == 1 else data)
-                at = np.arange(ns[i])
-                take = pa.array(np.full(ns[i], i))
-                yield pa.RecordBatch.from_arrays([_long(C.span_hash(h, at, at + width)), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(ns[i], starts[i], np.int32)), pa.array(at.astype(np.int32)), batch.column(4).take(take)], ["window", "_id", "_row", "start", "at", "copies"])
-
-    spread = shipped.where("hot").select("_id", "_row", "start", "n", "copies", "data").mapInArrow(windows, f"window long, _id {id_type}, _row long, start int, at int, copies long")
-    spot = F.struct("_id", "_row", "start", "at")
-    counted = spread.groupBy("window").agg(F.sum("copies").alias("all"), F.min(spot).alias("lead")).where("all > 1")
-    hot = spread.join(counted, "window")
-    hot = hot.where(~spot.eqNullSafe(F.col("lead"))) if first_stays else hot.where("copies = 1")
-    hot = hot.select("_row", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"), F.lit(None).cast("binary").alias("mask"))
-    return whole.unionByName(partial).unionByName(hot).groupBy("_row").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
+            anchor, copies, row, first = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            for i, n in enumerate(batch.column(5).to_pylist()):
+                data = np.frombuffer(batch.column(6)[i].as_buffer(), kind)
+                used = np.array(batch.column(7)[i].as_py(), np.int64).view(np.uint64)
+                start, size, finer_anchor, segment, gram = finer(C.byte_values(data) if symbol_bytes == 1 else data, n, k, width, used, anchor[i])
+                m = len(start)
+                pieces = pa.array([data[a : a + c + width - 1].tobytes() for a, c in zip(start, size, strict=True)], pa.binary())
+                chain = pa.array([[*used.view(np.int64).tolist(), g] for g in gram.view(np.int64).tolist()], pa.list_(pa.int64()))
+                same = lambda x, t, m=m: pa.array([x] * m, t)
+                yield pa.RecordBatch.from_arrays([_long(finer_anchor), _long(segment), same(copies[i], pa.int64()), pa.array([batch.column(2)[i].as_py()] * m, batch.column(2).type), same(row[i], pa.int64()), pa.array((start + first[i]).astype(np.int32)), pa.array(size.astype(np.int32)), pieces, chain], ["anchor", "segment", "copies", "_id", "_row", "start", "n", "data", "used"])
+
+    for _ in range(width - k + 2):  # a window has no more grams
+        if hot.isEmpty():
+            break
+        schema = f"anchor long, segment long, copies long, _id {id_type}, _row long, start int, n int, data binary, used array<long>"
+        pieces = C.written(hot.repartition(C.partitions(rows.sparkSession)).mapInArrow(cut_again, schema), f"{name}-pieces")
+        # Pieces that are equal now: again all but the first, or all of them, need no look.
+        seen = C.written(pieces.groupBy("anchor", "segment").agg(F.count("*").alias("_pieces"), F.sum("copies").alias("copies"), F.min(place).alias("first")), f"{name}-piece-kinds")
+        again = C.met_in_parts(pieces.drop("copies"), seen.where("copies > 1").select("anchor", "segment", "_pieces", "first"), ["anchor", "segment"], "_pieces", "_row", "start")
+        if first_stays:
+            again = again.where(~place.eqNullSafe(F.col("first")))
+        whole = whole.unionByName(again.select("_row", "start", "n", F.lit(None).cast("binary").alias("mask")))
+        crowd = seen.groupBy("anchor").agg(F.count("*").alias("_kinds")).where("_kinds > 1")
+        firsts = seen.join(crowd, "anchor").select("anchor", "segment", "copies", "first", "_kinds")
+        ones = C.written(pieces.drop("copies").join(firsts, ["anchor", "segment"]).where(place.eqNullSafe(F.col("first"))), f"{name}-again")
+        close = close.unionByName(ones.where(F.col("_kinds") <= HOT).select(*columns))
+        hot = ones.where(F.col("_kinds") > F.greatest(F.lit(HOT), F.lit(1))).select(*columns, "used")
+
+    near = close.repartition(C.partitions(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "_id", "_row", "start")
+    partial = near.select("anchor", "copies", "_row", "start", "n", "data").mapInArrow(look, "_row long, start int, n int, mask binary")
+    return whole.unionByName(partial).groupBy("_row").agg(F.collect_list(F.struct("start", "n", "mask")).alias("spans"))
 
 
 def covered(size: int, spans, width: int) -> np.ndarray:

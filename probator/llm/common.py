@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are looked at together.
-SLICE = 1 << 20
+SLICE = 1 << 19
 #: Rows in an Arrow batch; texts are long, so the default of 10,000 is too many.
 BATCH_ROWS = 2000
 #: Bytes of an Arrow batch, whatever its rows.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: [\x20\x09-\x0D] as a regular expression for Spark and for DuckDB.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -214,6 +214,20 @@ def passing(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), drop
 
 
+#: Rows of a key from which its facts are met in parts, and the parts.
+CROWD, PARTS = 1024, 16
+
+
+def met_in_parts(rows: DataFrame, facts: DataFrame, on: list[str], size: str, *spread: str) -> DataFrame:
+    """rows joined with the facts of their key (one row a key; ``size``, which is dropped, is how many rows it has). Rows of a crowded key meet a copy of its facts for each
+    part into which the columns ``spread`` deal them, so that no task gets them all. There are few crowded keys, since each has many rows."""
+    crowds = facts.where(F.col(size) > CROWD).drop(size)
+    parts = crowds.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int")).join(parts, [*on, "_part"]).drop("_part")
+    rest = rows.join(crowds.select(*on), on, "left_anti").join(facts.where(F.col(size) <= CROWD).drop(size), on)
+    return dealt.unionByName(rest)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

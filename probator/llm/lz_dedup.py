@@ -1,10 +1,12 @@
 """Removal of repeated passages by relative Lempel-Ziv parsing.
 
-The passages that share an anchor (see ``anchors``) form a reference block, in the order in which the
-corpus has them.  Each passage is parsed greedily against the block's index of the passages before it: a
-factor is the longest run of words, at least WIDTH of them, that the reference also has.  A long factor is a duplicate
-span.  Greedy factors can hide a window that crosses from one factor into what follows, so the windows
-at each factor's end are looked up too.  Then the passage joins the reference.
+A factor of WIDTH words or more lies in passages that share an anchor (see ``anchors``), so what a document could
+have in common with others comes to the reference blocks that hold it, and what lies between has no such factor.  The passages
+of an anchor form a reference block, in the order in which the corpus has them.  Each passage is parsed greedily
+against the block's index of the passages before it: a factor is a run of words, at least WIDTH of them, that the reference
+also has, compared word by word.  Where it ends, the window across its end is looked up: if an occurrence of that goes
+back to the factor's beginning, the factor goes on there, else the next one starts.  A long factor is a duplicate
+span, and since every window across an end is looked up, none is hidden between two factors.  Then the passage joins the reference.
 """
 
 from __future__ import annotations
@@ -32,19 +34,33 @@ class Reference:
         self.words: list[int] = []
         self.index: dict[int, int] = {}
 
+    def occurrence(self, words: list[int], keys: list[int], p: int) -> int | None:
+        """Where the reference has the window at p first, the same words and not just the same hash."""
+        at = self.index.get(keys[p])
+        return at if at is not None and self.words[at : at + self.width] == words[p : p + self.width] else None
+
+    def extent(self, words: list[int], p: int, at: int, size: int) -> int:
+        """How many words from p on the reference has from ``at`` on, given that it has ``size``."""
+        while p + size < len(words) and at + size < len(self.words) and self.words[at + size] == words[p + size]:
+            size += 1
+        return size
+
     def parse(self, words: list[int], keys: list[int]) -> list[tuple[int, int]]:
-        """Factors (start, length) of at least ``width`` words, greedily from the left and at the ends of factors. keys: the hash of each window."""
+        """Factors (start, length) of at least ``width`` words, greedily from the left. keys: the hash of each window."""
         out, p, n = [], 0, len(keys)
         while p < n:
-            at = self.index.get(keys[p])
+            at = self.occurrence(words, keys, p)
             if at is None:
                 p += 1
                 continue
-            size = self.width
-            while p + size < len(words) and at + size < len(self.words) and self.words[at + size] == words[p + size]:
-                size += 1
+            size = self.extent(words, p, at, self.width)
+            while (q := p + size - self.width + 1) < n and (other := self.occurrence(words, keys, q)) is not None:
+                back = other - (q - p)
+                if back < 0 or self.words[back:other] != words[p:q]:
+                    break
+                size = self.extent(words, p, back, size)
             out.append((p, size))
-            # The next factor would start after this one; windows across that boundary start within its last width - 1 words.
+            # Windows across the factor's end start within its last width - 1 words.
             p += size - self.width + 1
         return out
 

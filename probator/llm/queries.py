@@ -146,12 +146,15 @@ def _url_sql() -> str:
     return rf"""
         with u as (select page_id, coalesce(translate(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') as path from pages),
         o as (select doc_id, max(quality) as good from labels where quality in (0, 1) group by doc_id),
-        h as (select host, string_split(host, '.')[-1] as suffix, array_to_string(string_split(host, '.')[-2:], '.') as domain, count(doc_id)::double as n, coalesce(sum(good), 0)::double as good from u left join o on page_id = doc_id group by host),
+        v as (select *, regexp_replace(host, '^.*@|:[0-9]*$|\.$', '', 'g') as site from u),
+        t as (select *, case when regexp_matches(site, '^[0-9]+(\.[0-9]+){{3}}$') then site when regexp_matches(site, '(^|\.)({'|'.join(urls.INNER)})\.[a-z][a-z]$') then array_to_string(string_split(site, '.')[-2:], '.') else string_split(site, '.')[-1] end as suffix from v),
+        w as (select *, case when site = suffix then site else string_split(left(site, length(site) - length(suffix) - 1), '.')[-1] || '.' || suffix end as domain from t),
+        h as (select site, suffix, domain, count(doc_id)::double as n, coalesce(sum(good), 0)::double as good from w left join o on page_id = doc_id group by all),
         d as (select suffix, domain, sum(n) as n, sum(good) as good from h group by suffix, domain),
         s as (select suffix, sum(n) as n, sum(good) as good from d group by suffix),
-        w as (select (sum(good) + 1) / (sum(n) + 2) as prior from s),
-        {level('sp', 's', 'suffix', 'w', 'on true')}, {level('dp', 'd', 'suffix, domain', 'sp', 'using (suffix)').replace('c.*, p.prior', 'c.suffix, c.domain, c.n, c.good, p.prior')}, {level('hp', 'h', 'host', 'dp', 'using (suffix, domain)').replace('c.*, p.prior', 'c.host, c.n, c.good, p.prior')}
-        select page_id, host, path, {rule} as rule, {verdict} as verdict from u join hp using (host)"""
+        whole as (select coalesce((sum(good) + 1) / (sum(n) + 2), 0.5) as prior from s),
+        {level('sp', 's', 'suffix', 'whole', 'on true')}, {level('dp', 'd', 'suffix, domain', 'sp', 'using (suffix)').replace('c.*, p.prior', 'c.suffix, c.domain, c.n, c.good, p.prior')}, {level('hp', 'h', 'site', 'dp', 'using (suffix, domain)').replace('c.*, p.prior', 'c.site, c.n, c.good, p.prior')}
+        select page_id, host, path, {rule} as rule, {verdict} as verdict from w join hp using (site)"""
 
 
 ORACLE_SQL["op10_url_filters"] = _url_sql()

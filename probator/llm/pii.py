@@ -1,9 +1,10 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The field is trained here, by gradient descent with forward-backward in numpy, on a small labelled table of
-word runs (``labelled_runs``).  A word without a digit or an @ cannot carry a label, so the chain falls
-apart at such words: the runs between them are decoded by themselves, which gives the same best path
-as the whole text.  Runs are decoded by Viterbi in numpy, all runs of a batch and length at once.
+word runs (``labelled_runs``).  A word without a digit or an @ carries no label by definition, so the chain falls
+apart at such words: each run between them is decoded by itself, from an unlabelled word to an unlabelled word, which
+gives the best path of the whole text among those that leave such words unlabelled.  Runs are decoded by Viterbi in numpy,
+all runs of a batch and length at once.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from . import common as C
 KINDS = ("email", "ip", "card", "phone")
 EMAIL_TAIL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]")
-IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
+#: A match starts where its digits start and ends where they end, so nothing is gained by starting or giving back inside a run of digits.
+IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
@@ -133,7 +135,7 @@ def features(words: list[str], k: int) -> list[str]:
 
 
 class Field:
-    """A linear-chain conditional random field: emission weights by feature, and weights of label pairs (row and column 0: none before, after)."""
+    """A linear-chain conditional random field: emission weights by feature, and weights of label pairs. A run lies between two words with label 0, and the pairs with these count."""
 
     def __init__(self, table: list[tuple[list[str], list[str]]], steps: int = STEPS):
         names = sorted({f for words, _ in table for k in range(len(words)) for f in features(words, k)})
@@ -165,12 +167,13 @@ class Field:
         m = len(LABELS)
         score = self.emit[x].sum(2)
         ahead, back = np.zeros_like(score), np.zeros_like(score)
-        ahead[:, 0] = score[:, 0]
+        ahead[:, 0] = score[:, 0] + self.step[0]
+        back[:, -1] = self.step[:, 0]
         for k in range(1, size):
             ahead[:, k] = score[:, k] + np.logaddexp.reduce(ahead[:, k - 1, :, None] + self.step, axis=1)
         for k in range(size - 2, -1, -1):
             back[:, k] = np.logaddexp.reduce(self.step + (score[:, k + 1] + back[:, k + 1])[:, None, :], axis=2)
-        whole = np.logaddexp.reduce(ahead[:, -1], axis=1)
+        whole = np.logaddexp.reduce(ahead[:, -1] + self.step[:, 0], axis=1)
         p = np.eye(m)[y] - np.exp(ahead + back - whole[:, None, None])
         emit, step = np.zeros_like(self.emit), np.zeros_like(self.step)
         np.add.at(emit, x.reshape(-1), np.repeat(p.reshape(-1, m), x.shape[2], axis=0))
@@ -178,6 +181,8 @@ class Field:
             pair = np.exp(ahead[:, k - 1, :, None] + self.step + (score[:, k] + back[:, k])[:, None, :] - whole[:, None, None])
             step -= pair.sum(0)
             np.add.at(step, (y[:, k - 1], y[:, k]), 1)
+        step[0] += p[:, 0].sum(0)
+        step[:, 0] += p[:, -1].sum(0)
         return emit, step
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -194,13 +199,13 @@ class Field:
             by_size[len(words)].append(i)
         for size, own in by_size.items():
             score = np.stack([self.scores(runs[i]) for i in own])
-            best, came = score[:, 0], []
+            best, came = score[:, 0] + self.step[0], []
             for k in range(1, size):
                 reach = best[:, :, None] + self.step
                 came.append(reach.argmax(1))
                 best = reach.max(1) + score[:, k]
             path = np.zeros((len(own), size), np.int64)
-            path[:, -1] = best.argmax(1)
+            path[:, -1] = (best + self.step[:, 0]).argmax(1)
             for k in range(size - 1, 0, -1):
                 path[:, k - 1] = came[k - 1][np.arange(len(own)), path[:, k]]
             for i, p in zip(own, path, strict=True):

@@ -78,6 +78,8 @@ def write_token_files(docs: DataFrame, folder: str, *, id_col: str = "doc_id", t
             kind = batch.column(0).type
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = code.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+                if len(tokens) and int(tokens.max()) > np.iinfo(dtype).max or (tokens == end_id).any():
+                    raise ValueError(f"a token id of this vocabulary does not fit {dtype}, or is the separator {end_id}")
                 parts += [tokens.astype(dtype), end]
                 ids.append(i)
                 size += len(tokens) + 1

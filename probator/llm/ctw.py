@@ -30,7 +30,7 @@ from . import common as C
 DEPTH = 4
 #: Rows of a file, as a power of two, that make a block. Texts beyond 2 ** LONG_BITS bytes have blocks of their own, of half the rows for each doubling,
 #: so that a block has at most 2 ** (BLOCK_BITS + LONG_BITS + 1) bytes, or one text.
-BLOCK_BITS, LONG_BITS = 12, 14
+BLOCK_BITS, LONG_BITS = 12, 16
 #: Parts of a block's counts after which they are added up.
 PARTS = 32
 GRAM, WORD = 0, 1

@@ -205,11 +205,19 @@ def _postings(posted: DataFrame, name: str):
 
 
 def _priced(shared: DataFrame, cluster: DataFrame, name: str):
-    """The postings with cluster, clusters (that have the token) and costly, without tokens that one cluster only has; and a function that deletes them."""
+    """(the postings with cluster and clusters, the number of clusters that have the token, without tokens that one cluster only has; leading costly tokens; a function that deletes both).
+
+    A passage that many documents have is as many tokens as it has words, but all of them have the same holders, known by their number and the sum modulo 2
+    of their hashes. The first of such tokens leads: who looks up one of them looks up the first as well, so a pair meets there.
+    """
     known = shared.select("rep", "size", "pos", "token").join(cluster, "rep", "left").withColumn("cluster", F.coalesce("cluster", "rep"))
-    kinds = known.groupBy("token", "cluster").agg(F.count("*").alias("n"))
-    wide = kinds.groupBy("token").agg(F.count("*").alias("clusters")).where("clusters > 1")
-    return C.passing(known.join(wide.withColumn("costly", F.col("clusters") > COSTLY), "token"), name)
+    kinds = known.groupBy("token", "cluster").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
+    wide = kinds.groupBy("token").agg(F.count("*").alias("clusters"), F.sum("n").alias("n"), F.bit_xor("who").alias("who")).where("clusters > 1")
+    wide, drop_wide = C.passing(wide, f"{name}-tokens")
+    priced, drop_priced = C.passing(known.join(wide.select("token", "clusters"), "token"), name)
+    order = F.col("token").bitwiseXOR(F.lit(-(2**63)))  # hashes are ordered as they would be without a sign
+    leads = wide.where(F.col("clusters") > COSTLY).groupBy("n", "who").agg(F.min(order).alias("least")).select(F.col("least").bitwiseXOR(F.lit(-(2**63))).alias("token"))
+    return priced, leads, lambda: (drop_priced(), drop_wide())
 
 
 def _active(known: DataFrame, prefixes: DataFrame | None, percent: int) -> DataFrame:
@@ -279,22 +287,10 @@ def _active(known: DataFrame, prefixes: DataFrame | None, percent: int) -> DataF
     return dealt.mapInArrow(work, "rep long, size long, most long, token long, cluster long, clusters long, costly boolean, place long, stuck boolean, fills boolean, near boolean, due long")
 
 
-def _leading(known: DataFrame) -> DataFrame:
-    """The rows of tokens that stand for all tokens which the same documents look up: the first in the order of cost and hash.
-
-    A passage that many documents have is as many tokens as it has words, but one such set of documents, which is known by its size and the sum (modulo 2) of
-    its members' hashes. Who shares one of the tokens shares all, so a pair is met once for each passage.
-    """
-    order = F.struct("clusters", F.col("token").bitwiseXOR(F.lit(-(2**63))).alias("hash"), "token")
-    tokens = known.groupBy("token", "clusters").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("who"))
-    leads = tokens.groupBy("n", "who").agg(F.min(order).alias("lead")).select("lead.token")
-    return known.join(leads, "token", "left_semi")
-
-
-def _candidates(known: DataFrame, percent: int) -> DataFrame:
+def _candidates(known: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     """(a, b): documents of different clusters that share as many of the tokens they look up as is due, and can have enough in common.
 
-    known: also ``asks``; one of the two must.
+    known: also ``asks``; one of the two must. leads: the costly tokens that stand for others.
     """
 
     def side(rows: DataFrame, cluster: str, k: str) -> DataFrame:
@@ -305,7 +301,7 @@ def _candidates(known: DataFrame, percent: int) -> DataFrame:
     shared = F.least("px", "py") + F.least(F.col("mx") - F.col("px"), F.col("my") - F.col("py"))
     enough = (F.col("asksx") | F.col("asksy")) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")) & ((100 + percent) * shared >= percent * both) & ((100 + percent) * differ <= (100 - percent) * both)
     # Cheap tokens: pairs of clusters first, so that nothing within a cluster is paired.
-    cheap, fills = known.where("not costly"), _leading(known.where("fills"))
+    cheap, fills = known.where("not costly"), known.where("fills").join(leads, "token", "left_semi")
     held = cheap.groupBy("token", "cluster").agg(F.count("*").alias("n"))
     meet = held.select("token", F.col("cluster").alias("ca")).join(held.select("token", F.col("cluster").alias("cb")), "token").where("ca < cb")
     pairs = meet.join(side(cheap, "ca", "x"), ["token", "ca"]).join(side(cheap, "cb", "y"), ["token", "cb"]).where(enough)
@@ -344,23 +340,22 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     links = _linked(rows, stars, sketches, blocks, words, percent, "ngram-stars")
     cluster = C.written(connected_components(links).select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "ngram-clusters")
     bits = sets.select(F.col("_row").alias("rep"), *BITS)
-    wide, drop_wide = _priced(shared, cluster, "ngram-wide")
+    wide, leads, drop_wide = _priced(shared, cluster, "ngram-wide")
     drop_shared()
     known, drop_known = C.passing(_active(wide, sets.select(F.col("_row").alias("rep"), "posted", "counted"), percent).join(bits, "rep").withColumn("asks", F.lit(True)), "ngram-active")
+    pairs, drop_pairs = C.passing(_candidates(known, leads, percent), "ngram-met")
     drop_wide()
-    pairs, drop_pairs = C.passing(_candidates(known, percent), "ngram-met")
     # Second round: a stuck document and a partner both have one of their costly tokens in their 1-match prefixes.
     dear = known.where("costly and near")
     again = dear.groupBy("token").agg(F.max("stuck").alias("any"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("any and lo <> hi").select("token")
     again, drop_again = C.passing(dear.join(again, "token", "left_semi").groupBy("rep").agg(F.max("stuck").alias("asks")), "ngram-again")
     drop_known()
     shared, drop_shared = _postings(_whole_sets(rows, again, words), "ngram-whole")
-    wide, drop_wide = _priced(shared, cluster, "ngram-whole-wide")
+    wide, leads, drop_wide = _priced(shared, cluster, "ngram-whole-wide")
     drop_shared()
     known, drop_known = C.passing(_active(wide, None, percent).join(bits, "rep").join(again, "rep"), "ngram-whole-active")
-    drop_wide()
-    links = links.unionByName(_linked(rows, pairs.unionByName(_candidates(known, percent)).distinct(), sketches, blocks, words, percent, "ngram-links"))
-    for drop in (drop_pairs, drop_again, drop_known):
+    links = links.unionByName(_linked(rows, pairs.unionByName(_candidates(known, leads, percent)).distinct(), sketches, blocks, words, percent, "ngram-links"))
+    for drop in (drop_pairs, drop_again, drop_known, drop_wide):
         drop()
     found = connected_components(links)
     # Back to all documents: their class, its component, and the least id in it.

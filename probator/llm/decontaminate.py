@@ -230,21 +230,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, *, width: int = 10, di
     A window is ``width`` consecutive words of an item; an item with fewer words is one window. items have an exact occurrence of a window; near_items a proximity
     match: all words of a window, in any order, at most ``distance`` words from its rarest one (none if distance is None).
     Null or empty texts have no words, items without words or id find nothing, rows with the same
-    id are judged one by one, and other columns are not looked at. The index stays below the shared folder until the session's files there are cleared.
+    id are judged one by one, and other columns are not looked at. The matches are written; the index is deleted when all slices have been asked.
     """
-    index = C.written(build_index(docs, id_col=id_col, text_col=text_col), "decontamination-index")
+    index, drop_index = C.passing(build_index(docs, id_col=id_col, text_col=text_col), "decontamination-index")
     found = []
     for rows in _slices(items, item_id, item_text):
         phrases = Phrases(rows, width)
         if len(phrases.terms):
             phrases.plan(term_counts(index, phrases.terms))
             part = _match(index, phrases, distance, id_col)
-            # From the second slice on each result is written, so that one slice is in use at a time; documents without any match are left out.
-            found.append(C.written(part.where("size(spans) > 0 or size(near_items) > 0"), "contamination") if found else part)
+            # From the second slice on documents without any match are left out.
+            found.append(C.written(part.where("size(spans) > 0 or size(near_items) > 0") if found else part, "contamination"))
     if not found:
         none = Phrases([], width)
         none.plan(np.zeros(0, np.int64))
-        found = [_match(index, none, distance, id_col)]
+        found = [C.written(_match(index, none, distance, id_col), "contamination")]
+    drop_index()
     out = found[0]
     hits = "aggregate(spans, 0L, (n, s) -> n + s.past - s.first)"
     if len(found) > 1:

@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item. Null and empty texts have none; an empty benchmark takes no document away."""
-    found = decontaminate.find_contamination(docs, C.table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("_row")
+    found = C.written(decontaminate.find_contamination(docs, C.table(spark, sf_dir, "benchmark")).where("n_hit > 0").select("_row"), "contaminated")
     return C.numbered(docs, *COLUMNS).join(found, "_row", "left_anti").select(*COLUMNS)
 
 

@@ -220,8 +220,9 @@ CROWD, PARTS = 1024, 16
 
 def met_in_parts(rows: DataFrame, facts: DataFrame, on: list[str], size: str, *spread: str) -> DataFrame:
     """rows joined with the facts of their key (one row a key; ``size``, which is dropped, is how many rows it has). Rows of a crowded key meet a copy of its facts for each
-    part into which the columns ``spread`` deal them, so that no task gets them all. There are few crowded keys, since each has many rows."""
-    crowds = facts.where(F.col(size) > CROWD).drop(size)
+    part into which the columns ``spread`` deal them, so that no task gets them all. There are few crowded keys, since each has many rows; they are written first, so that
+    the planner knows their size, and while that is small no row is shuffled for them."""
+    crowds = written(facts.where(F.col(size) > CROWD).drop(size), "crowds")
     parts = crowds.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*spread), F.lit(PARTS)).cast("int")).join(parts, [*on, "_part"]).drop("_part")
     rest = rows.join(crowds.select(*on), on, "left_anti").join(facts.where(F.col(size) <= CROWD).drop(size), on)

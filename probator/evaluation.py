@@ -7,15 +7,17 @@ written to the output once; everything after the fits runs over records and pred
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ledger
 from .contract import CaseError, Section, as_document, case_fingerprint
 from .functions.columns import named
 from .operators import audits, graphs, metrics, models, overlap, readiness, splits, stability, verdicts
+from .operators.profile import column_profile, most_missing, preview
 from .provenance import provenance
 from .roles import curve_group, entity_ids, metadata_gaps, ranking_candidate, ranking_group, require_columns, role_names
 from .sources import sinks
@@ -55,8 +57,6 @@ def profile_case(spark: SparkSession, case: Section, output: str) -> dict:
     audit = readiness.audit_table(rows, case, ROW)
     found = readiness.findings(audit, case)
     gate = readiness.readiness(found)
-    from .operators.profile import column_profile, most_missing, preview
-
     data = rows.drop(ROW)
     sinks.write_table(column_profile(data, roles=role_names(case, data.columns)), f"{output}/column_profile.parquet")
     profile = spark.read.parquet(f"{output}/column_profile.parquet")
@@ -73,8 +73,8 @@ def profile_case(spark: SparkSession, case: Section, output: str) -> dict:
 class Run:
     """One run of a case. Steps are methods in the order in which ``evaluate_case`` calls them."""
 
-    def __init__(self, spark: SparkSession, case: Section, output: str, budget: str, allowed: set[str] | None):
-        self.spark, self.case, self.output, self.budget = spark, case, output, budget
+    def __init__(self, spark: SparkSession, case: Section, output: str, budget: str, allowed: set[str] | None, structures: dict[str, Callable[[Column], Column]]):
+        self.spark, self.case, self.output, self.budget, self.structures = spark, case, output, budget, structures
         self.allowed = models.allowlist(case, allowed)
         self.seeds = models.seeds(case, budget)
         self.found = readiness.declaration_findings(case)
@@ -85,6 +85,10 @@ class Run:
         self.records: list[tuple] = []
         self.curve: list[tuple] = []
 
+    def derived(self, kind: str, column: str | None) -> Column | None:
+        """What a structure column becomes, if the caller has given a function for it: its canonical form, its scaffold or its bits."""
+        return self.structures[kind](named(column)) if column and kind in self.structures else None
+
     def table(self) -> None:
         """The rows after identity-conflict policies, which act on development rows alone; then the gate for these."""
         case, df = self.case, load(self.spark, self.case)
@@ -102,7 +106,7 @@ class Run:
         for s in self.case.generalization_scenarios:
             for seed in self.seeds:
                 path = f"{self.output}/split_manifests/{s.name}__seed-{seed}.parquet"
-                sinks.write_table(splits.create_split(self.df, s, seed, ROW), path)
+                sinks.write_table(splits.create_split(self.df, s, seed, ROW, scaffold=self.derived("scaffold", s.group_column)), path)
                 part = self.spark.read.parquet(path)
                 self.sizes[s.name, seed] = splits.require_both_sides(part, s)
                 marks = splits.fingerprints(part, s.name, s.strategy, seed).first()
@@ -114,12 +118,16 @@ class Run:
         """What every partition shares, its claim, and the units of each class on its test side. Protected ids that cross are an error."""
         case, parts, support = self.case, [], []
         binary = case.task.kind == "binary_classification"
+        graph = self.derived("canonical", case.graph_readiness.structure_column) if case.graph_readiness else None
         for s in case.generalization_scenarios:
             for seed in self.seeds:
                 part = self.partitions[s.name, seed]
                 claim = overlap.split_claim(self.df, ROW, part, s.split_claim)
                 audit = overlap.overlap_audit(self.df, case, ROW, part).crossJoin(claim.withColumnRenamed("status", "claim_status"))  # one row
                 parts.append(audit.select(F.lit(s.name).alias("scenario"), F.lit(seed).alias("seed"), "kind", "subject", "shared", "test_fraction", "claim_status"))
+                if graph is not None:
+                    shared = graphs.graph_overlap(self.df, part, ROW, graph)
+                    parts.append(shared.select(F.lit(s.name).alias("scenario"), F.lit(seed).alias("seed"), F.lit("graph").alias("kind"), F.lit("").alias("subject"), "shared", "test_fraction", F.lit(None).cast("string").alias("claim_status")))
                 if binary:
                     test = self.df.join(part.where("part = 'test'").select(F.col("row_id").alias(ROW)), ROW, "left_semi")
                     unit = case.evaluation.bootstrap_unit
@@ -143,12 +151,12 @@ class Run:
         self.audits["inventory"] |= {"rows_after_policies": self.identity["model_rows"], "rows_in_no_partition": self.identity["model_rows"] - self.audits["inventory"]["rows"]}
         self.audits["identity_consistency"] = self.identity
         if self.case.graph_readiness is not None:
-            self.audits["graph_contract"] = graphs.contract_audit(rows, self.case, self.identity["status"], None, ROW)
+            self.audits["graph_contract"] = graphs.contract_audit(rows, self.case, self.identity["status"], self.derived("canonical", self.case.graph_readiness.structure_column), ROW)
 
     def fit(self) -> None:
         """Every model on every partition and representation, its permuted controls, learning curves, and the means of entities."""
         case, target = self.case, self.case.task.target_column
-        frames = models.feature_frames(self.df, case)
+        frames = models.feature_frames(self.df, case, fingerprint=self.derived("fingerprint", case.features.smiles_column))
         self.representations = list(frames)
         predictions = []
         group = ranking_group(case)
@@ -260,8 +268,11 @@ class Run:
         self.summary = stability.experiment_summary(kept, metric)
 
 
-def evaluate_case(spark: SparkSession, case: Section, output: str, *, budget: str = "smoke", models_allowed: set[str] | None = None, holdout_reason: str = "", ledger_folder: str | None = None) -> dict:
-    """``run``: the whole evaluation, its tables and its report below ``output``. Blocking findings, protected ids that cross and a spent holdout are errors."""
+def evaluate_case(spark: SparkSession, case: Section, output: str, *, budget: str = "smoke", models_allowed: set[str] | None = None, holdout_reason: str = "", ledger_folder: str | None = None, structures: dict[str, Callable[[Column], Column]] | None = None) -> dict:
+    """``run``: the whole evaluation, its tables and its report below ``output``. Blocking findings, protected ids that cross and a spent holdout are errors.
+
+    structures: functions from a structure column to its ``canonical`` form, its ``scaffold`` or its ``fingerprint`` (an array of bits); what needs one that is not there cannot be assessed, or is an error.
+    """
     readiness.require_ready(readiness.declaration_findings(case))
     began = time.perf_counter()
     access = []
@@ -272,7 +283,7 @@ def evaluate_case(spark: SparkSession, case: Section, output: str, *, budget: st
         checksum = dataset_fingerprint(read_table(spark, case.data.path))
         ledger.request_access(spark, folder, checksum, case.holdout.maximum_accesses, actor="probator", purpose=f"confirmation of {case.case_id}", case_fingerprint=case_fingerprint(case), reason=holdout_reason)
         access = ledger.history(spark, folder, checksum)
-    run = Run(spark, case, output, budget, models_allowed)
+    run = Run(spark, case, output, budget, models_allowed, structures or {})
     for step in (run.table, run.split, run.overlaps, run.audit, run.fit, run.judge):
         step()
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731 (summaries of a few rows each)

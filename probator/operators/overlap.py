@@ -111,7 +111,7 @@ def overlap_summary(audits: DataFrame, case: Section) -> DataFrame:
         parts.append(audits.where(F.col("scenario") == s.name).agg(
             F.lit(s.name).alias("scenario"), most(F.col("kind") == "record").alias("exact"), most(pairs & ~F.coalesce(expects, F.lit(False))).alias("pairs"), most(pairs & expects).alias("expected_pairs"),
             most(held).alias("boundary"), most(held, "test_fraction").alias("boundary_fraction"), most(entity(units)).alias("unit"), most(entity(units), "test_fraction").alias("unit_fraction"),
-            F.coalesce(F.min(F.coalesce(F.col("claim_status") == COMPATIBLE, F.lit(False))), F.lit(False)).alias("claim_compatible"),
+            F.coalesce(F.min(F.when(F.col("kind") != "graph", F.coalesce(F.col("claim_status") == COMPATIBLE, F.lit(False)))), F.lit(False)).alias("claim_compatible"),
         ))
     return reduce(DataFrame.unionByName, parts)
 

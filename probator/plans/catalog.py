@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import discovery, roles
-from ..contract import Section, changed, parse_case, unconfirmed_roles
+from ..contract import changed, parse_case, unconfirmed_roles
 from ..functions import columns as x
 from ..functions.ordered import average_rank
 from ..operators import audits, graphs, metrics, models, overlap, profile, readiness, splits, stability, verdicts
@@ -862,8 +862,4 @@ def b03_decisions(spark, sf):
 FLAGSHIP = "d01_d03_audit"
 
 
-def case_of_orders() -> Section:
-    return CASE
-
-
 assert set(ORACLE_SQL) <= set(QUERIES), set(ORACLE_SQL) - set(QUERIES)

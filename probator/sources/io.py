@@ -6,11 +6,12 @@ import hashlib
 import json
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StructType
 
 from ..functions.columns import named
+from ..functions.ordered import cumulate, numbered_keys
 
 #: Suffix: reader and its options.
 SUFFIXES = {"csv": ("csv", {"sep": ","}), "tsv": ("csv", {"sep": "\t"}), "txt": ("csv", {"sep": "\t"}), "parquet": ("parquet", {}), "pq": ("parquet", {})}
@@ -42,18 +43,12 @@ def with_row_number(df: DataFrame, name: str = "_row_id") -> DataFrame:
 
     A table of files has no order of its own that survives a different split; equal rows are interchangeable. No task sorts the whole table.
     """
-    from ..functions.ordered import numbered_keys
-
     row = F.to_json(F.struct(*(named(c) for c in df.columns)), {"ignoreNullFields": "false"})
     hashed = df.withColumn("_h", F.md5(row.cast("binary"))).withColumn("_i", F.monotonically_increasing_id())
     kinds = hashed.groupBy("_h").agg(F.count("*").alias("_n"))
     places = numbered_keys(kinds.select(F.col("_h").alias("key")), F.col("key"), F.substring("key", 1, 3))
     # Equal rows follow each other: their first number is the sum of the counts before.
-    from ..functions.ordered import cumulate
-
     starts = cumulate(places.join(kinds, F.col("key") == F.col("_h")).select("key", F.col("place").cast("double").alias("place"), "_n"), "place", {"_start": "_n"})
-    from pyspark.sql import Window
-
     ranked = hashed.withColumn("_k", F.row_number().over(Window.partitionBy("_h").orderBy("_i")) - 1)
     return ranked.join(starts.select(F.col("key").alias("_h"), "_start"), "_h").select(*(named(c) for c in df.columns), (F.col("_start") + F.col("_k")).cast("long").alias(name))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric, markdown_cell, named, numeric
@@ -118,8 +118,6 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def _order(count: str, value: str):
-    from pyspark.sql import Window
-
     return Window.orderBy(F.desc(count), value)  # over a few dozen rows
 
 

@@ -10,24 +10,29 @@ from . import ctw, decontaminate, lz_dedup, mixing, ngram_join, pii, quality, su
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality rules over all documents. A null or empty text has no words and fails; rows with one id are rated one by one."""
     rated = quality.rate_documents(C.table(spark, sf_dir, "documents"))
     return rated.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte model's score of every document. A null or empty text is its end alone; rows with one id are scored one by one."""
     scored = ctw.score_documents(C.table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeats cover. A null or empty text, and one of fewer than 200 bytes, keeps all it has; exact copies remove each other."""
     return suffix_dedup.remove_repeats(C.table(spark, sf_dir, "documents"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that earlier passages have. Null ids come first; of rows with one id the earlier in the table counts as earlier. A null or empty text has no words."""
     return lz_dedup.remove_passages(C.table(spark, sf_dir, "documents"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document. A null or empty text has none; counts and base_sha256 are of the fixed patterns, spans also has what the field adds."""
     found = pii.find_pii(C.table(spark, sf_dir, "documents"))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
     counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in pii.KINDS]
@@ -35,24 +40,29 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and component. A null or empty text has an empty set and is alone; equal texts are one component."""
     return ngram_join.similar_documents(C.table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. A null source is a source, last in order; a text without words is taken with no effect."""
     mixed = mixing.mix_sources(C.table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files. A null or empty text has none."""
     return token_counts.count_tokens(C.table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document. A null or empty text has no words; an item without words or id finds nothing."""
     found = decontaminate.find_contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url. A null url, or one without ://, has an empty host and path and is judged by the reputation of all."""
     return urls.filter_urls(C.table(spark, sf_dir, "pages"), C.table(spark, sf_dir, "labels")).select("page_id", "host", "path", "rule", "verdict")
 
 

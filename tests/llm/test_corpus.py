@@ -68,7 +68,7 @@ def texts(rng, n, size, words=5):
     return [" ".join(rng.choice([f"w{i}" for i in range(words)], rng.integers(0, size))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("hot", [4000, 2, 1])
+@pytest.mark.parametrize("hot", [4000, 1])
 def test_repeats_match_brute_force(spark, tmp_path, monkeypatch, hot):
     monkeypatch.setattr(anchors, "HOT", hot)
     rng = np.random.default_rng(5)
@@ -90,7 +90,7 @@ def test_repeats_match_brute_force(spark, tmp_path, monkeypatch, hot):
         assert (got[i].n_removed, got[i].kept_sha256) == (len(gone), hashlib.sha256(bytes(b for k, b in enumerate(t.encode()) if k not in gone)).hexdigest())
 
 
-@pytest.mark.parametrize(("costly", "full"), [(4, 256), (1, 256), (1, 4), (0, 0)])
+@pytest.mark.parametrize(("costly", "full"), [(4, 256), (1, 4), (0, 0)])
 def test_similar_documents_match_brute_force(spark, tmp_path, monkeypatch, costly, full):
     monkeypatch.setattr(ngram_join, "COSTLY", costly)
     monkeypatch.setattr(ngram_join, "FULL", full)

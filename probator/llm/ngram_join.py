@@ -48,8 +48,9 @@ FULL, REACH = 256, 0.35
 LOW = np.uint64(int(REACH * 2**64))
 #: Passes over the tokens when postings are made.
 PASSES = 2
-#: Names of the 64-bit parts of a set's bitmap.
+#: Names of the 64-bit parts of a set's bitmap, and the parts of the finer one that sets of the second round have.
 BITS = [f"bits{k}" for k in range(8)]
+FINE = 64
 #: Documents of one block when candidates are verified.
 FAMILY = 64
 #: Parts of the documents of a family or a component, when they meet what holds for all of it, and the members from which that is done.
@@ -99,9 +100,7 @@ def _prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 owner = np.repeat(np.arange(len(size)), longest)
                 take = np.arange(len(owner)) - np.repeat(np.cumsum(longest) - longest, longest) + bounds[owner]
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(longest))), pa.int32()), pa.array(hashes[take].view(np.int64)))
-                place = np.repeat(np.arange(len(size)), size) * (64 * len(BITS)) + ((hashes >> np.uint64(20)) % np.uint64(64 * len(BITS))).astype(np.int64)
-                odd = (np.bincount(place, minlength=len(size) * 64 * len(BITS)) & 1).astype(np.uint8)
-                bits = np.packbits(odd).view(np.int64).reshape(len(size), len(BITS))
+                bits = _parities(hashes, bounds, len(BITS))
                 short = (hashes & np.uint64(0xFFFF)).astype(np.uint16)
                 sketch = [np.sort(short[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(size)), batch.column(1).slice(at, len(size)), *(pa.array(c, pa.int64()) for c in (size, longest, counted)), pa.array(same.view(np.int64)), tokens, pa.array(sketch, pa.binary()), *(pa.array(bits[:, k]) for k in range(len(BITS)))], ["_id", "_row", "size", "posted", "counted", "same", "tokens", "sketch", *BITS])
@@ -176,18 +175,28 @@ def _linked(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, blocks: Data
     return links
 
 
+def _parities(hashes: np.ndarray, bounds: np.ndarray, parts: int) -> np.ndarray:
+    """A row of 64-bit numbers for each set: bit by bit, whether an odd number of its tokens falls there."""
+    n, width = len(bounds) - 1, 64 * parts
+    place = np.repeat(np.arange(n), np.diff(bounds)) * width + ((hashes >> np.uint64(20)) % np.uint64(width)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * width) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).reshape(n, parts)
+
+
 def _whole_sets(rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rep, size, pos, token): all tokens of each wanted document."""
+    """(rep, size, tokens, fine): all tokens of each wanted document, and its finer bitmap."""
 
     def work(batches):
         for batch in batches:
             for at, buf, offsets in C.text_slices(batch.column(1)):
                 hashes, bounds = shingle_sets(buf, offsets, words)
+                n = len(bounds) - 1
                 tokens = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(tokens)), pa.array(np.diff(bounds), pa.int64()), tokens], ["rep", "size", "tokens"])
+                fine = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * FINE, pa.int32()), pa.array(_parities(hashes, bounds, FINE).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(np.diff(bounds), pa.int64()), tokens, fine], ["rep", "size", "tokens", "fine"])
 
     own = rows.select("_row", "text").join(wanted.select(F.col("rep").alias("_row")), "_row")
-    return own.mapInArrow(work, "rep long, size long, tokens array<long>").select("rep", "size", F.posexplode("tokens").alias("pos", "token"))
+    return own.mapInArrow(work, "rep long, size long, tokens array<long>, fine array<long>")
 
 
 def _postings(posted: DataFrame, name: str):
@@ -287,10 +296,11 @@ def _active(known: DataFrame, prefixes: DataFrame | None, percent: int) -> DataF
     return dealt.mapInArrow(work, "rep long, size long, most long, token long, cluster long, clusters long, costly boolean, place long, stuck boolean, fills boolean, near boolean, due long")
 
 
-def _candidates(known: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
+def _candidates(known: DataFrame, leads: DataFrame, percent: int, fine: DataFrame | None = None) -> DataFrame:
     """(a, b): documents of different clusters that share as many of the tokens they look up as is due, and can have enough in common.
 
-    known: also ``asks``; one of the two must. leads: the costly tokens that stand for others.
+    known: also ``asks``; one of the two must. leads: the costly tokens that stand for others. fine: (rep, fine), finer bitmaps for sets of costly tokens, whose
+    pairs are otherwise too many where texts are put together from the same passages.
     """
 
     def side(rows: DataFrame, cluster: str, k: str) -> DataFrame:
@@ -306,7 +316,12 @@ def _candidates(known: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     meet = held.select("token", F.col("cluster").alias("ca")).join(held.select("token", F.col("cluster").alias("cb")), "token").where("ca < cb")
     pairs = meet.join(side(cheap, "ca", "x"), ["token", "ca"]).join(side(cheap, "cb", "y"), ["token", "cb"]).where(enough)
     # Costly tokens: only of sets that have too few cheap ones.
-    pairs = pairs.select("x", "y", "dx", "dy").unionByName(side(fills, "ca", "x").join(side(fills, "cb", "y"), "token").where((F.col("ca") < F.col("cb")) & enough).select("x", "y", "dx", "dy"))
+    left, right = side(fills, "ca", "x"), side(fills, "cb", "y")
+    if fine is not None:
+        left, right = (d.join(fine.select(F.col("rep").alias(k), F.col("fine").alias(f"f{k}")), k) for d, k in ((left, "x"), (right, "y")))
+        apart = F.aggregate(F.zip_with("fx", "fy", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d)
+        enough = enough & ((100 + percent) * apart <= (100 - percent) * both)
+    pairs = pairs.select("x", "y", "dx", "dy").unionByName(left.join(right, "token").where((F.col("ca") < F.col("cb")) & enough).select("x", "y", "dx", "dy"))
     met = pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("dx", "dy")).alias("due"))
     return met.where("n >= due").select("a", "b")
 
@@ -350,12 +365,13 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     again = dear.groupBy("token").agg(F.max("stuck").alias("any"), F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("any and lo <> hi").select("token")
     again, drop_again = C.passing(dear.join(again, "token", "left_semi").groupBy("rep").agg(F.max("stuck").alias("asks")), "ngram-again")
     drop_known()
-    shared, drop_shared = _postings(_whole_sets(rows, again, words), "ngram-whole")
+    whole, drop_whole = C.passing(_whole_sets(rows, again, words), "ngram-whole")
+    shared, drop_shared = _postings(whole.select("rep", "size", F.posexplode("tokens").alias("pos", "token")), "ngram-whole")
     wide, leads, drop_wide = _priced(shared, cluster, "ngram-whole-wide")
     drop_shared()
     known, drop_known = C.passing(_active(wide, None, percent).join(bits, "rep").join(again, "rep"), "ngram-whole-active")
-    links = links.unionByName(_linked(rows, pairs.unionByName(_candidates(known, leads, percent)).distinct(), sketches, blocks, words, percent, "ngram-links"))
-    for drop in (drop_pairs, drop_again, drop_known, drop_wide):
+    links = links.unionByName(_linked(rows, pairs.unionByName(_candidates(known, leads, percent, whole.select("rep", "fine"))).distinct(), sketches, blocks, words, percent, "ngram-links"))
+    for drop in (drop_pairs, drop_again, drop_known, drop_wide, drop_whole):
         drop()
     found = connected_components(links)
     # Back to all documents: their class, its component, and the least id in it.

@@ -45,17 +45,24 @@ def discover(spark: SparkSession, data: str, output: str) -> dict:
     return result
 
 
-def demo(spark: SparkSession, kind: str, output: str, budget: str, raw: str | None) -> dict:
-    """A synthetic table from start to end; or a public table that ``raw`` names, made ready and kept."""
+#: Public tables that come with the files that are handed over; those with a holdout also need the table that it is held against.
+ADAPTERS = {"davis": adapters.davis, "bbb": adapters.barrier, "parkinsons": adapters.voice}
+HELD_OUT = {"bbb-external": adapters.barrier_external, "bbb-petbd": adapters.tracer_external}
+
+
+def demo(spark: SparkSession, kind: str, output: str, budget: str, raw: str | None, protected: str | None = None) -> dict:
+    """A synthetic table from start to end; or a public table that ``raw`` names, made ready and kept. Tables with a holdout need the ``protected`` table, and RDKit to tell structures apart."""
     if kind in synthetic.SHAPES:
         path = f"{output}/{kind}.parquet"
         sinks.write_table(synthetic.synthetic(spark, kind), path)
         return evaluation.evaluate_case(spark, synthetic.synthetic_case(kind, path), f"{output}/{kind}", budget=budget)
-    make = {"davis": adapters.davis, "bbb": adapters.barrier, "parkinsons": adapters.voice}[kind]
-    if raw is None:
-        raise ValueError(f"{kind} needs the raw table: --raw FILE")
-    _, facts = adapters.cached(spark, f"{output}/{kind}", lambda: make(read_table(spark, raw)))
-    return facts
+    if raw is None or kind in HELD_OUT and protected is None:
+        raise ValueError(f"{kind} needs the raw table{' and the protected one: --protected FILE' if kind in HELD_OUT else ''}: --raw FILE")
+    if kind in HELD_OUT:
+        build = lambda: HELD_OUT[kind](read_table(spark, protected), read_table(spark, raw), adapters.structure_key())
+    else:
+        build = lambda: ADAPTERS[kind](read_table(spark, raw))
+    return adapters.cached(spark, f"{output}/{kind}", build)[1]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -76,7 +83,7 @@ def parser() -> argparse.ArgumentParser:
     command("eda", (("case",), {}), out("eda"))
     command("discover", (("data",), {}), out("discovery"))
     command("assess-graph-readiness", (("development",), {}), (("--external-report",), {"default": None}))
-    command("demo", (("kind",), {"choices": [*synthetic.SHAPES, "davis", "bbb", "parkinsons"]}), budget, out("demo"), (("--raw",), {"default": None}))
+    command("demo", (("kind",), {"choices": [*synthetic.SHAPES, *ADAPTERS, *HELD_OUT]}), budget, out("demo"), (("--raw",), {"default": None}), (("--protected",), {"default": None}))
     command("autoprobe", (("action",), {"choices": ["prepare", "evaluate"]}), (("path",), {}), out("autoprobe"))
     return top
 
@@ -89,7 +96,7 @@ def main(words: list[str] | None = None) -> dict:
         spark = session()
         calls = {
             "init-case": lambda: init_case(spark, a.data, a.output), "run": lambda: evaluation.evaluate_case(spark, load_case(a.case), a.output, budget=a.budget, holdout_reason=a.holdout_override_reason), "eda": lambda: evaluation.profile_case(spark, load_case(a.case), a.output),
-            "discover": lambda: discover(spark, a.data, a.output), "assess-graph-readiness": lambda: evaluation.assess_graphs(spark, a.development, a.external_report), "demo": lambda: demo(spark, a.kind, a.output, a.budget, a.raw),
+            "discover": lambda: discover(spark, a.data, a.output), "assess-graph-readiness": lambda: evaluation.assess_graphs(spark, a.development, a.external_report), "demo": lambda: demo(spark, a.kind, a.output, a.budget, a.raw, a.protected),
             "autoprobe": lambda: autoprobe.prepare(spark, load_case(a.path), a.output) if a.action == "prepare" else autoprobe.trial(spark, a.path),
         }
         result = calls[a.command]()

@@ -85,3 +85,11 @@ def test_words_of_names():
     assert name_words("HTTPServerId2_x") == ["http", "server", "id2", "x"]
     assert [n for n in ("Fluidity", "userID", "ID", "tokenCount", "bid", "grid-id", "identifiers", "IDTag") if names_identifier(n)] == ["userID", "ID", "tokenCount", "grid-id", "IDTag"]
     assert markdown_cell("a|b\nc") == "a\\|b c"
+
+
+def test_exported_names_exist():
+    import probator
+
+    assert all(callable(getattr(probator, n)) for n in probator.__all__)
+    with pytest.raises(AttributeError):
+        probator.nothing  # noqa: B018

@@ -93,3 +93,11 @@ def test_exported_names_exist():
     assert all(callable(getattr(probator, n)) for n in probator.__all__)
     with pytest.raises(AttributeError):
         probator.nothing  # noqa: B018
+
+
+def test_the_only_scenario_is_chosen():
+    from probator.operators.overlap import chosen_scenario
+
+    case = parse_case(PLAIN)
+    two = changed(case, generalization_scenarios=[{"name": n, "strategy": "random"} for n in "ab"])
+    assert chosen_scenario(case).name == "r" and chosen_scenario(two) is None and chosen_scenario(two, two.generalization_scenarios[1]).name == "b"

@@ -7,7 +7,6 @@ numpy without making a Python string for each row, and work on slices of about
 
 from __future__ import annotations
 
-import hashlib
 import os
 import uuid
 from collections.abc import Callable
@@ -143,10 +142,6 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
 def batched(docs: DataFrame) -> DataFrame:
     """docs, after the session was told to send small Arrow batches to Python and to drop shuffle files when a query ends."""
     conf = docs.sparkSession.conf
